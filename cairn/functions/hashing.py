@@ -54,10 +54,10 @@ def fingerprint(*fields: Column) -> Column:
 def map_fields(pairs: Column, fold_case: bool = False) -> Column:
     """The fingerprint's text of a map's sorted keys and values."""
     keys = F.transform(F.map_keys(pairs), lambda k: F.upper(k) if fold_case else k)
-    entries = F.array_sort(F.arrays_zip(keys.alias("k"), F.map_values(pairs).alias("v")))
+    entries = F.array_sort(F.zip_with(keys, F.map_values(pairs), lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
     units = lambda f: (F.octet_length(F.encode(f, "UTF-16BE")) / 2).cast("int").cast("string")
     piece = lambda f: F.concat(F.coalesce(units(f), F.lit("-1")), F.lit(":"), F.coalesce(f, F.lit("")), F.lit(";"))
-    return F.array_join(F.transform(entries, lambda e: F.concat(piece(e[0]), piece(e[1]))), "")
+    return F.array_join(F.transform(entries, lambda e: F.concat(piece(e["k"]), piece(e["v"]))), "")
 
 
 def chain_text(x: Column, most: int = 4096) -> Column:

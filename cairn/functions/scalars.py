@@ -148,16 +148,14 @@ TOKENS = {
 
 def to_string(x: Column, form: str) -> Column:
     """TO_STRING: the tokens above, other characters and 'quoted text' as they stand; unknown letters are an error."""
-    out = []
-    for quoted, letters, other in _tokens(form):
-        if letters:
-            if letters not in TOKENS:
-                raise ValueError(f"no such token: {letters}")
-            out.append(TOKENS[letters])
-        else:
-            text = quoted or other
-            out.append("'" + text + "'" if text else "")
-    return F.date_format(x, "".join(out))
+    out, said = "", ""
+    for quoted, letters, other in [*_tokens(form), ("", "", "")]:
+        if letters and letters not in TOKENS:
+            raise ValueError(f"no such token: {letters}")
+        if (letters or not (quoted or other)) and said:
+            out, said = out + "'" + said + "'", ""
+        out, said = out + TOKENS.get(letters, ""), said + quoted + other
+    return F.date_format(x, out)
 
 
 def _tokens(form: str) -> list[tuple[str, str, str]]:
