@@ -30,3 +30,11 @@ def each(df: DataFrame, v: str, path: str, name: str) -> DataFrame:
     rows = df.withColumn("_node", node).filter(F.schema_of_variant("_node").startswith("ARRAY"))
     elements = F.transform(F.try_variant_get(F.col("_node"), "$", "array<variant>"), lambda x: x)
     return rows.withColumn(name, F.explode(elements)).drop("_node")
+
+
+def member(v: Column, name: str, any_case: bool = True) -> Column:
+    """A member of an object by name; of several that differ in case alone, the first in order of keys."""
+    if not any_case:
+        return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+    hits = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.lower(e["key"]) == name.lower())
+    return F.get(hits, F.lit(0))["value"]

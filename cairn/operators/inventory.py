@@ -28,7 +28,8 @@ def summary(blobs: DataFrame, staged: DataFrame, *references: DataFrame) -> Data
     a = blobs.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
     b = staged.agg(F.count(F.lit(1)).alias("staged_blocks"), F.coalesce(F.sum("length"), F.lit(0)).alias("staged_bytes"))
     c = reachable(*references).agg(F.count(F.lit(1)).alias("reachable_chunks"))
-    return a.join(b).join(c)  # one row each
+    rows = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)  # one row each
+    return rows.agg(*[F.max(n).alias(n) for n in rows.columns])
 
 
 def same(a: DataFrame, b: DataFrame) -> bool:

@@ -18,7 +18,34 @@ def purge_due(now: Column, days: int) -> Column:
 
 
 def expired(now: Column) -> Column:
-    return F.coalesce(F.col("expires_at") <= now, F.lit(False))
+    """Current objects past their expiry that neither a legal hold nor an immutability period keeps."""
+    kept = F.col("has_legal_hold") | F.coalesce(F.col("immutability_until") > now, F.lit(False))
+    return F.col("is_current") & F.col("snapshot").isNull() & F.coalesce(F.col("expires_at") <= now, F.lit(False)) & ~kept
+
+
+def log_expired(now: Column, days: int | None) -> Column:
+    """Log objects past the retention of logs; none where it is off."""
+    return F.lit(False) if days is None else F.coalesce(F.col("created_at") + F.make_dt_interval(F.lit(days)) <= now, F.lit(False))
+
+
+def container_purge_due(now: Column, days: int) -> Column:
+    until = F.coalesce("delete_retention_until", F.col("deleted_at") + F.make_dt_interval(F.lit(days)))
+    return F.col("deleted_at").isNotNull() & F.coalesce(until <= now, F.lit(False))
+
+
+def copy_state(now: Column) -> Column:
+    """What a pending copy has become by now: it fails if it expires before it is ready."""
+    late = (F.col("copy_expires_at") <= now) & F.coalesce(F.col("copy_ready_at") > F.col("copy_expires_at"), F.lit(True))
+    ready = F.coalesce(F.col("copy_ready_at") <= now, F.lit(False))
+    due = F.when(F.coalesce(late, F.lit(False)), "failed").when(ready, "success").otherwise("pending")
+    return F.when(F.col("copy_status") == "pending", due).otherwise(F.col("copy_status"))
+
+
+def tier_after_rehydration(now: Column) -> Column:
+    """The tier of an archived object by now: the one it is brought back to, once that is complete and no copy is pending."""
+    to = F.regexp_extract("archive_status", "^rehydrate-pending-to-(hot|cool|cold|smart)$", 1)
+    done = F.coalesce((F.col("rehydrate_complete_at") <= now) & (to != "") & ~F.coalesce(F.col("copy_status") == "pending", F.lit(False)), F.lit(False))
+    return F.when(done, F.initcap(to)).otherwise(F.col("access_tier"))
 
 
 def smart_tier(now: Column) -> Column:

@@ -138,3 +138,14 @@ def family(blobs: DataFrame, container: str, name: str) -> DataFrame:
     """All generations of one object: the current one first, then the newest."""
     own = blobs.filter((F.col("container") == container) & (F.col("name") == name))
     return own.orderBy(F.desc("is_current"), F.desc_nulls_last("last_modified"), "generation_id")
+
+
+def site_pages(requests: DataFrame, objects: DataFrame, index: str | None = None, default: str | None = None, error: str | None = None) -> DataFrame:
+    """path, name, status of requests (path) to a site: the object itself or a folder's index page, else the default page, else the error page with 404; without any, name is null."""
+    folder = (F.col("path") == "") | F.col("path").endswith("/")
+    own = F.when(folder & F.lit(bool(index)), F.concat("path", F.lit(index or ""))).otherwise(F.col("path"))
+    choices = [F.struct(own.alias("name"), F.lit(0).alias("rank"), F.lit(200).alias("status"))]
+    choices += [F.struct(F.lit(n.lstrip("/")).alias("name"), F.lit(k).alias("rank"), F.lit(code).alias("status")) for k, n, code in ((1, default, 200), (2, error, 404)) if n]
+    tried = requests.select("path").distinct().select("path", F.explode(F.array(*choices)).alias("c")).select("path", "c.*")
+    hits = tried.join(objects.select("name").distinct(), "name").groupBy("path").agg(F.min_by(F.struct("name", "status"), "rank").alias("hit"))
+    return requests.join(hits, "path", "left").select("path", F.col("hit.name").alias("name"), F.coalesce(F.col("hit.status"), F.lit(404)).alias("status"))

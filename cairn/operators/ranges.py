@@ -71,16 +71,35 @@ def changed_pages(now: DataFrame, before: DataFrame, group: list[str]) -> DataFr
     return merged(pages, group)
 
 
+#: Levels of aligned blocks: ranges of up to 2**LEVELS bytes.
+LEVELS = 44
+
+
+def _blocks() -> Column:
+    """The aligned blocks (level, number) that a range is made of: two a level at most, so a few dozen for any range."""
+    out = []
+    for k in range(LEVELS + 1):
+        left, right = F.ceil(F.col("start") / F.lit(1 << k)), F.floor((F.col("end") + 1) / F.lit(1 << k))
+        some = left < right
+        out.append(F.when(some & (left % 2 == 1), F.struct(F.lit(k).alias("level"), left.alias("number"))))
+        out.append(F.when(some & (right % 2 == 1), F.struct(F.lit(k).alias("level"), (right - 1).alias("number"))))
+    return F.array_compact(F.array(*out))
+
+
 def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
-    """Ranges with seq: of overlapping writes the one with the greatest seq holds; equal neighbours are merged."""
+    """Ranges with seq: of overlapping writes the one with the greatest seq holds; equal neighbours are merged.
+
+    Each range is cut into aligned blocks, and each cell between borders looks up the blocks it lies in, one a level: an
+    equi join whose rows grow with the ranges, not with their pairs.
+    """
     borders = df.select(*group, F.explode(F.array("start", F.col("end") + 1)).alias("start")).distinct()
     w = Window.partitionBy(*group).orderBy("start")
     cells = borders.select(*group, F.col("start").alias("_s"), (F.lead("start").over(w) - 1).alias("_e")).filter("_e is not null")
-    held = cells.join(df, group).filter((F.col("start") <= F.col("_s")) & (F.col("end") >= F.col("_e")))
-    top = held.groupBy(*group, "_s", "_e").agg(F.max("seq").alias("seq"))
-    out = top.select(*group, F.col("_s").alias("start"), F.col("_e").alias("end"), "seq")
-    touching = merged(out, [*group, "seq"])
-    return touching
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_s") / F.lit(1 << k)).alias("number")) for k in range(LEVELS + 1)]))
+    asked = cells.select(*group, "_s", "_e", levels.alias("b")).select(*group, "_s", "_e", "b.level", "b.number")
+    written = df.select(*group, "seq", F.explode(_blocks()).alias("b")).groupBy(*group, "b.level", "b.number").agg(F.max("seq").alias("seq"))
+    top = asked.join(written, [*group, "level", "number"]).groupBy(*group, "_s", "_e").agg(F.max("seq").alias("seq"))
+    return merged(top.select(*group, F.col("_s").alias("start"), F.col("_e").alias("end"), "seq"), [*group, "seq"])
 
 
 def split(df: DataFrame, size: int = COPY) -> DataFrame:

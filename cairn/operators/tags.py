@@ -45,8 +45,8 @@ def find(blobs: DataFrame, tags: list[Tag], container: str | None = None) -> Dat
     """Current objects with all the tags: container, name and the queried tags alone, in order of container and name."""
     lows = [t.key for t in tags if t.op in (">", ">=")]
     highs = [t.key for t in tags if t.op in ("<", "<=")]
-    if not 1 <= len(tags) + (container is not None) <= MOST or len(lows) > len(set(lows)) or len(highs) > len(set(highs)):
-        raise ValueError("1 to 16 predicates, with one lower and one upper bound a key at most")
+    if not 1 <= len(tags) <= MOST or len(lows) > len(set(lows)) or len(highs) > len(set(highs)):
+        raise ValueError("1 to 16 tags, with one lower and one upper bound a key at most")
     own = blobs.filter("is_current and not is_deleted and snapshot is null")
     own = own.filter(F.col("container") == container) if container is not None else own
     for t in tags:

@@ -244,9 +244,9 @@ def q_integrity_tallies(spark, sf):
 NOW = "2021-01-01 00:00:00"
 
 
-@query(f"""WITH {d.BLOBS} SELECT name, is_deleted AND created_at + INTERVAL 40 DAY <= TIMESTAMP '{NOW}' AS purge, coalesce(created_at + INTERVAL 60 DAY <= TIMESTAMP '{NOW}', false) AS expired FROM blobs""")
+@query(f"""WITH {d.BLOBS} SELECT name, is_deleted AND created_at + INTERVAL 40 DAY <= TIMESTAMP '{NOW}' AS purge, coalesce(created_at + INTERVAL 60 DAY <= TIMESTAMP '{NOW}', false) AND doc_id % 9 <> 0 AS expired FROM blobs""")
 def q_lifecycle_purge(spark, sf):
-    own = d.blobs(spark, sf).withColumns({"delete_retention_until": F.lit(None).cast("timestamp"), "deleted_at": F.col("created_at"), "expires_at": F.col("created_at") + F.expr("interval 60 days")})
+    own = d.blobs(spark, sf).withColumns({"delete_retention_until": F.lit(None).cast("timestamp"), "deleted_at": F.col("created_at"), "expires_at": F.col("created_at") + F.expr("interval 60 days"), "has_legal_hold": F.col("doc_id") % 9 == 0, "immutability_until": F.lit(None).cast("timestamp")})
     now = F.lit(NOW).cast("timestamp")
     return own.select("name", lifecycle.purge_due(now, 40).alias("purge"), lifecycle.expired(now).alias("expired"))
 
@@ -336,3 +336,55 @@ def q_content_chunks(spark, sf):
 def q_metrics_text(spark, sf):
     lines = writers.metrics_text(request_logs.counters(d.log(spark, sf), ["operation"]), "requests_total", "requests", ["operation"])
     return lines.filter(F.col("line").rlike(r'^requests_total\{operation="[a-z]+"\} [0-9]+$')).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 10 DAY <= TIMESTAMP '1997-01-01' AND o_orderkey % 30 > 10 THEN 'failed' WHEN o_orderdate + to_days((o_orderkey % 30)::INT) <= TIMESTAMP '1997-01-01' THEN 'success' ELSE 'pending' END AS copy,
+  CASE WHEN o_orderdate <= TIMESTAMP '1996-06-01' AND o_orderstatus = 'F' THEN 'Cool' ELSE 'Archive' END AS tier FROM orders""")
+def q_due_copies(spark, sf):
+    at, none = F.col("o_orderdate").cast("timestamp"), F.lit(None).cast("string")
+    o = d.table(spark, sf, "orders").select(
+        "o_orderkey", F.lit("pending").alias("copy_status"), (at + F.expr("interval 10 days")).alias("copy_expires_at"), (at + F.make_dt_interval((F.col("o_orderkey") % 30).cast("int"))).alias("copy_ready_at"),
+        F.when(F.col("o_orderstatus") == "F", "rehydrate-pending-to-cool").alias("archive_status"), at.alias("rehydrate_complete_at"), F.lit("Archive").alias("access_tier"),
+    )
+    tier = lifecycle.tier_after_rehydration(F.lit("1996-06-01").cast("timestamp"))
+    return o.withColumn("copy", lifecycle.copy_state(F.lit("1997-01-01").cast("timestamp"))).withColumn("copy_status", none).select("o_orderkey", "copy", tier.alias("tier"))
+
+
+@query("SELECT c_custkey, c_acctbal < 0 AND TIMESTAMP '2024-01-01' + to_days((c_custkey % 60)::INT) + INTERVAL 7 DAY <= TIMESTAMP '2024-02-01' AS purge FROM customer")
+def q_container_purge(spark, sf):
+    deleted = F.when(F.col("c_acctbal") < 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("c_custkey") % 60).cast("int")))
+    c = d.table(spark, sf, "customer").select("c_custkey", deleted.alias("deleted_at"), F.lit(None).cast("timestamp").alias("delete_retention_until"))
+    return c.select("c_custkey", lifecycle.container_purge_due(F.lit("2024-02-01").cast("timestamp"), 7).alias("purge"))
+
+
+@query("""WITH r AS (SELECT DISTINCT url AS path FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'dir' || (page_id % 7) || '/' WHEN 1 THEN 'page' || page_id ELSE '' END AS url FROM pages)),
+o AS (SELECT DISTINCT 'page' || page_id AS name FROM pages WHERE page_id % 2 = 0 UNION SELECT 'dir1/index.html' UNION SELECT 'dir2/index.html' UNION SELECT '404.html')
+SELECT path, coalesce(o.name, '404.html') AS name, CASE WHEN o.name IS NULL THEN 404 ELSE 200 END AS status FROM r LEFT JOIN o ON o.name = CASE WHEN path = '' OR path LIKE '%/' THEN path || 'index.html' ELSE path END""")
+def q_site_pages(spark, sf):
+    k = F.col("page_id")
+    pages = d.table(spark, sf, "pages")
+    path = F.when(k % 3 == 0, F.concat(F.lit("dir"), (k % 7).cast("string"), F.lit("/"))).when(k % 3 == 1, F.concat(F.lit("page"), k.cast("string"))).otherwise("")
+    objects = pages.filter("page_id % 2 = 0").select(F.concat(F.lit("page"), k.cast("string")).alias("name"))
+    objects = objects.unionByName(spark.createDataFrame([("dir1/index.html",), ("dir2/index.html",), ("404.html",)], "name string"))
+    return listing.site_pages(pages.select(path.alias("path")).distinct(), objects, "index.html", error="/404.html")
+
+
+@query(f"""WITH {d.BLOBS} SELECT container, name, 'source' AS tag_key, source AS tag_value, 'missing' AS fault FROM blobs WHERE source = 'src3' UNION ALL SELECT 'xx', 'none', 'k', 'v', 'surplus'""")
+def q_tag_index_faults(spark, sf):
+    blobs = d.blobs(spark, sf)
+    index = tags.index_of(blobs).filter("not (tag_key = 'source' and tag_value = 'src3')")
+    return tags.index_faults(blobs, index.unionByName(spark.createDataFrame([("xx", "none", "k", "v")], "container string, name string, tag_key string, tag_value string")))
+
+
+@query(f"""WITH {d.REFERENCES}, u AS (SELECT blob, ordinal, min(chunk_id) AS id, max(length) AS length FROM refs WHERE blob < 1500 GROUP BY 1, 2),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY blob ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM u)
+SELECT blob, id, s AS "offset", least(s + length, 30000) - s AS length, 0::BIGINT AS skip FROM o WHERE s < 30000
+UNION ALL SELECT blob, id, greatest(s, 50000), s + length - greatest(s, 50000), greatest(s, 50000) - s FROM o WHERE s + length > 50000
+UNION ALL SELECT DISTINCT blob, -1, 30000, 20000, 0 FROM o""")
+def q_manifest_replace(spark, sf):
+    refs = d.chunk_references(spark, sf).filter("blob < 1500")
+    u = refs.groupBy("blob", "ordinal").agg(F.min("chunk_id").alias("id"), F.max("length").alias("length"))
+    own = manifests.with_offsets(u, ["blob"], "ordinal").withColumn("skip", F.lit(0).cast("bigint"))
+    n = lambda v: F.lit(v).cast("bigint")
+    patch = u.select("blob").distinct().select("blob", n(-1).alias("id"), n(30000).alias("offset"), n(20000).alias("length"), n(0).alias("skip"))
+    return manifests.replaced(own, patch, ["blob"])

@@ -227,3 +227,17 @@ def q_content_crc64(spark, sf):
 def q_parquet_normalised(spark, sf):
     li = records.normalised(table(spark, sf, "lineitem"))
     return li.filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS any_case, NOT json_exists(props, '$.K') AS absent FROM events WHERE props IS NOT NULL")
+def q_json_any_case(spark, sf):
+    e = table(spark, sf, "events").filter("props is not null").select("event_id", F.try_parse_json("props").alias("v"))
+    return e.select("event_id", F.try_variant_get(json_path.member(F.col("v"), "K"), "$", "bigint").alias("any_case"), json_path.member(F.col("v"), "K", any_case=False).isNull().alias("absent"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END AS exact FROM orders")
+def q_compare_decimal_double(spark, sf):
+    """0.5 is exact as a double, 0.1 is a little more than the decimal, 0.7 a little less."""
+    k = (F.col("o_orderkey") % 3 + 1).cast("int")
+    pick = lambda kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in ("0.5", "0.1", "0.7")]), k)
+    return table(spark, sf, "orders").select("o_orderkey", compare.compare_decimal_double(pick("decimal(20,5)"), pick("double")).alias("exact"))
