@@ -1,13 +1,13 @@
 """Operator 5: BPE encoding and decoding by a table of distinct words.
 
-1. Each task splits its documents and gives its sorted distinct words, dealt by hash to buckets.
+1. Each task splits its documents and gives its distinct words in order of their hashes, dealt to buckets.
 2. Each bucket's tasks meet: every distinct word is encoded once, and each task's share of the bucket gets its ids
    back in the order it had.
-3. The documents, as positions in their task's sorted words, meet that task's shares: ids follow by
+3. The documents, as positions among their task's words in that order, meet that task's shares: ids follow by
    position, and pieces by the id-to-piece table, which has a row per vocabulary entry and goes to every task.
 
 No row is a single word: a task's words of a bucket travel as one row, so what is shuffled is what
-tasks have distinct, plus two or three bytes a word of text. A digest of the sorted words goes both ways; if
+tasks have distinct, plus two or three bytes a word of text. A digest of the words goes both ways; if
 a lost task's second run had other rows than its first, the job fails rather than mix the two up.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows each get
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +36,52 @@ RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 
 
 class _Partition:
-    """The words of a partition's documents: codes by first place until all are known, then by (bucket, word)."""
+    """The words of a partition's documents: codes by first place until all are known, then by (bucket, hash)."""
 
     def __init__(self, path: str, buckets: int):
         self.bpe, self.buckets, self.first, self.docs = WordBpe(path), buckets, {}, []
+        self.flat, self.sizes = [], []
+        own = self
+
+        class Tokens(dict):
+            """The number of each token; its words' codes are in flat."""
+
+            def __missing__(self, token: str) -> int:
+                first = own.first
+                words = own.bpe.words_of(token)
+                own.flat += [first.setdefault(w, len(first)) for w in words]
+                own.sizes.append(len(words))
+                self[token] = out = len(self)
+                return out
+
+        self.number = Tokens().__getitem__
 
     def add(self, text: str, keep: bool) -> None:
-        first, words = self.first, self.bpe.words(text)
-        codes = [first.setdefault(w, len(first)) for w in words]
+        tokens = self.bpe.tokens(text)
         if keep:
-            self.docs.append(np.array(codes, np.uint32))
-
-    def done(self) -> tuple[list[tuple[int, str]], np.ndarray, bytes]:
-        """The sorted (bucket, word), the place there of each code, and a digest of all."""
-        words = sorted((xxhash.xxh3_64_intdigest(w.encode()) % self.buckets, w) for w in self.first)
-        place = np.empty(len(words), np.uint32)
-        place[[self.first[w] for _, w in words]] = np.arange(len(words), dtype=np.uint32)
-        return words, place, hashlib.blake2b("\n".join(w for _, w in words).encode(), digest_size=16).digest()
+            self.docs.append(np.fromiter(map(self.number, tokens), np.uint32, len(tokens)))
+        else:
+            for t in set(tokens):
+                self.number(t)
+
+    def done(self) -> tuple[list[str], np.ndarray, bytes]:
+        """The words by (bucket, hash), each one's bucket, and a digest of all; then codes() is ready."""
+        words = list(self.first)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        bucket = h % np.uint64(self.buckets)
+        order = np.lexsort((h, bucket))
+        self.place = np.empty(len(words), np.uint32)
+        self.place[order] = np.arange(len(words), dtype=np.uint32)
+        words = [words[i] for i in order.tolist()]
+        self.flat, self.sizes = np.array(self.flat, np.uint32), np.array(self.sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        return words, bucket[order].astype(np.int64), hashlib.blake2b("\n".join(words).encode(), digest_size=16).digest()
+
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        """The places of a document's words, from its tokens' numbers."""
+        sizes = self.sizes[tokens]
+        shift = self.starts[tokens] - (np.cumsum(sizes) - sizes)
+        return self.place[self.flat[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)]]
 
 
 def _split_words(path: str, buckets: int):
@@ -63,8 +92,9 @@ def _split_words(path: str, buckets: int):
             for i in range(len(said)):
                 own.add(said[i].as_py(), keep=False)
             part = batch.column("part")[0].as_py() if len(said) else part
-        words, _, digest = own.done()
-        shares = [(k, "\n".join(w for _, w in some)) for k, some in groupby(words, key=lambda x: x[0])]
+        words, bucket, digest = own.done()
+        ends = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+        shares = [(k, "\n".join(words[a:b])) for k, (a, b) in enumerate(pairwise(ends)) if a < b]
         for at in range(0, len(shares), 64):
             some = shares[at : at + 64]
             columns = ([part] * len(some), [k for k, _ in some], [digest] * len(some), [w for _, w in some])
@@ -106,10 +136,10 @@ def _split_docs(path: str, buckets: int):
                 own.add(said[i].as_py(), keep=True)
             ids.append(batch.column("doc_id"))
             part = batch.column("part")[0].as_py() if len(said) else part
-        _, place, digest = own.done()
+        _, _, digest = own.done()
         ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int64())
         for at in range(0, len(ids), 500):
-            codes = [planes(place[c]) for c in own.docs[at : at + 500]]
+            codes = [planes(own.codes(t)) for t in own.docs[at : at + 500]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(codes), pa.int32()), ids.slice(at, 500), pa.array([digest] * len(codes), pa.binary()), pa.array(codes, pa.binary())],
                 names=["part", "doc_id", "digest", "codes"],

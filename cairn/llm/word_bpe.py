@@ -35,20 +35,32 @@ class WordBpe:
         self.letters = _byte_letters()
         self.bytes = {c: b for b, c in self.letters.items()}
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order; a special string is one word with a space before it."""
+    def tokens(self, text: str) -> list[str]:
+        """What white space separates, in order, for words_of(); no word crosses white space, so a token has the same words wherever it stands.
+
+        A special string is a token with a space before it, and a word that the library has cut one with a tab before it.
+        """
         if "<|" in text and self.cut.search(text):
             out: list[str] = []
             for i, part in enumerate(self.cut.split(text)):
-                out += [" " + part] if i % 2 else self._words(part)
+                out += [" " + part] if i % 2 else self._tokens(part)
             return out
-        return self._words(text)
+        return self._tokens(text)
 
-    def _words(self, text: str) -> list[str]:
+    def _tokens(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
-            return SPLIT.findall(text.lower())
+            return text.lower().split()
         pieces = self.pre.pre_tokenize_str(self.norm.normalize_str(text)) if text else []
-        return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
+        return ["\t" + bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
+
+    def words_of(self, token: str) -> list[str]:
+        if token[0] == "\t":
+            return [token[1:]]
+        return [token] if token[0] == " " else SPLIT.findall(token)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text in order; a special string is one word with a space before it."""
+        return [w for t in self.tokens(text) for w in self.words_of(t)]
 
     def ids(self, word: str) -> list[int]:
         if word[0] == " ":
