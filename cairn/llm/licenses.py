@@ -23,7 +23,7 @@ K = 3
 SHARE = 0.5
 #: Diagonals this near to each other, with spans this many words apart at most, are one passage.
 SLACK, GAP = 4, 12
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -45,37 +45,63 @@ TEXTS = {
 
 def words(text: Column) -> Column:
     # Of all characters outside ASCII only the Kelvin sign has an ASCII letter alone as lower case; it must not become one.
-    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("K"), F.lit("Ｋ"))), F.lit(WORD), F.lit(0))
+    parts = F.split(F.lower(F.replace(text, F.lit("K"), F.lit("Ｋ"))), BETWEEN)
 
+    def inner(p: Column) -> Column:
+        """Without the empty texts before the first word and after the last."""
+        first = F.when(p[0] == "", 1).otherwise(0)
+        last = F.when(F.element_at(p, -1) == "", 1).otherwise(0)
+        return F.slice(p, first + 1, F.greatest(F.size(p) - first - last, F.lit(0)))
 
-def grams(own: Column) -> Column:
-    count = F.greatest(F.size(own) - (K - 1), F.lit(0))
-    return F.transform(F.slice(own, 1, count), lambda w, i: F.xxhash64(w, *[F.get(own, i + j) for j in range(1, K)]))
+    return F.transform(F.array(parts), inner)[0]
+
+
+def gram(own: Column, w: Column, i: Column) -> Column:
+    return F.xxhash64(w, *[F.get(own, i + j) for j in range(1, K)])
+
+
+def _places(own: Column) -> Column:
+    return F.slice(own, 1, F.greatest(F.size(own) - (K - 1), F.lit(0)))
 
 
 def templates(spark: SparkSession) -> DataFrame:
     rows = [(i, label, i < len(PHRASES), text) for i, (text, label) in enumerate([*PHRASES.items(), *((t, k) for k, t in TEXTS.items())])]
     table = spark.createDataFrame(rows, "template int, label string, base boolean, said string").withColumn("t_words", words(F.col("said")))
-    table = table.select("template", "label", "base", "t_words", F.posexplode(grams(F.col("t_words"))).alias("t_place", "gram"))
+    grams = F.transform(F.array("t_words"), lambda own: F.transform(_places(own), lambda w, i: gram(own, w, i)))[0]
+    table = table.select("template", "label", "base", "t_words", F.posexplode(grams).alias("t_place", "gram"))
     return table.select("template", "label", "base", "t_place", "gram", F.slice("t_words", F.col("t_place") + 1, K).alias("t_gram"), (F.size("t_words") - (K - 1)).alias("t_size"))
 
 
-def votes(docs: DataFrame) -> DataFrame:
+def hits(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_words and hits (place, gram, said) of each row: the grams that some template has.
+
+    The join's keys, a few hundred constants, are tested where the grams are made, so that only hits become rows.
+    """
+    keys = [r["gram"] for r in templates(docs.sparkSession).select("gram").distinct().collect()]
+
+    def of(own: Column) -> Column:
+        hit = lambda w, i: F.when(gram(own, w, i).isin(keys), F.struct(i.alias("place"), gram(own, w, i).alias("gram"), F.slice(own, i + 1, K).alias("said")))
+        return F.struct(F.size(own).cast("long").alias("n_words"), F.filter(F.transform(_places(own), hit), lambda h: h.isNotNull()).alias("hits"))
+
+    both = F.transform(F.array(words(F.col("text"))), of)[0]
+    return docs.select("doc_id", "key", both.alias("both")).select("doc_id", "key", F.col("both.n_words").alias("n_words"), F.col("both.hits").alias("hits"))
+
+
+def votes(found: DataFrame) -> DataFrame:
     """doc_id, key, template, label, base, t_size, diagonal, and what voted for it: n, lo, hi (places in the document)."""
-    own = docs.select("doc_id", "key", words(F.col("text")).alias("own"))
-    hits = (
-        own.select("doc_id", "key", "own", F.posexplode(grams(F.col("own"))).alias("place", "gram"))
-        .join(F.broadcast(templates(docs.sparkSession)), "gram")
-        .filter(F.slice("own", F.col("place") + 1, K) == F.col("t_gram"))  # hashes alone don't vote
-        .select("doc_id", "key", "template", "label", "base", "t_size", "place", (F.col("place") - F.col("t_place")).alias("diagonal"))
+    joined = (
+        found.select("doc_id", "key", F.explode("hits").alias("h"))
+        .select("doc_id", "key", F.col("h.place").alias("place"), F.col("h.gram").alias("gram"), F.col("h.said").alias("said"))
+        .join(F.broadcast(templates(found.sparkSession)), "gram")
+        .filter(F.col("said") == F.col("t_gram"))  # hashes alone don't vote
     )
-    by = hits.groupBy("doc_id", "key", "template", "label", "base", "t_size", "diagonal")
+    by = joined.groupBy("doc_id", "key", "template", "label", "base", "t_size", (F.col("place") - F.col("t_place")).alias("diagonal"))
     return by.agg(F.size(F.collect_set("place")).alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """The verified spans: doc_id, key, label, base, start (in words), score."""
-    found = votes(docs)
+def passages(found: DataFrame) -> DataFrame:
+    """The verified spans of the rows of hits(): doc_id, key, label, base, start (in words), score."""
+    found = votes(found)
     phrases = found.filter("base and n = t_size").select("doc_id", "key", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("score"))
     w = Window.partitionBy("doc_id", "key", "template").orderBy("lo", "diagonal")
     new = F.coalesce((F.col("lo") > F.lag("hi").over(w) + GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > SLACK), F.lit(True))
@@ -93,12 +119,12 @@ def licenses(docs: DataFrame) -> DataFrame:
     rows = shared.texts(docs).withColumn("key", F.xxhash64("text"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     base = F.col("base")
-    found = passages(rows).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(
+    all_rows = shared.stored(hits(rows), "license-hits")
+    found = passages(all_rows).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"), joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined("label").alias("labels"), F.max("score").alias("score"),
     )
-    all_rows = rows.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = all_rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
