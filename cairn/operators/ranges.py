@@ -75,15 +75,19 @@ def changed_pages(now: DataFrame, before: DataFrame, group: list[str]) -> DataFr
 LEVELS = 44
 
 
+def _at_level(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x, k)
+
+
 def _blocks() -> Column:
     """The aligned blocks (level, number) that a range is made of: two a level at most, so a few dozen for any range."""
-    out = []
-    for k in range(LEVELS + 1):
-        left, right = F.ceil(F.col("start") / F.lit(1 << k)), F.floor((F.col("end") + 1) / F.lit(1 << k))
-        some = left < right
-        out.append(F.when(some & (left % 2 == 1), F.struct(F.lit(k).alias("level"), left.alias("number"))))
-        out.append(F.when(some & (right % 2 == 1), F.struct(F.lit(k).alias("level"), (right - 1).alias("number"))))
-    return F.array_compact(F.array(*out))
+
+    def of(k: Column) -> Column:
+        left, right = _at_level(F.col("start") + _at_level(F.lit((1 << 62) - 1), 62 - k), k), _at_level(F.col("end") + 1, k)
+        block = lambda odd, number: F.when((left < right) & (odd % 2 == 1), F.struct(k.alias("level"), number.alias("number")))
+        return F.array(block(left, left), block(right, right - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), of)))
 
 
 def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
@@ -95,7 +99,7 @@ def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
     borders = df.select(*group, F.explode(F.array("start", F.col("end") + 1)).alias("start")).distinct()
     w = Window.partitionBy(*group).orderBy("start")
     cells = borders.select(*group, F.col("start").alias("_s"), (F.lead("start").over(w) - 1).alias("_e")).filter("_e is not null")
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_s") / F.lit(1 << k)).alias("number")) for k in range(LEVELS + 1)]))
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), _at_level(F.col("_s"), k).alias("number"))))
     asked = cells.select(*group, "_s", "_e", levels.alias("b")).select(*group, "_s", "_e", "b.level", "b.number")
     written = df.select(*group, "seq", F.explode(_blocks()).alias("b")).groupBy(*group, "b.level", "b.number").agg(F.max("seq").alias("seq"))
     top = asked.join(written, [*group, "level", "number"]).groupBy(*group, "_s", "_e").agg(F.max("seq").alias("seq"))
