@@ -8,11 +8,11 @@ count, and orders the others by hash. The table of frequent shingles is broadcas
 FREQUENT of them, the most frequent; leaving one out costs candidates, never a link.
 
 Candidates come from the posting lists of the prefix shingles in two steps that lose no link between
-different components: first each node with the first node of its list, then, once the verified
+different components: first each node with one node of its list, another one in each list, then, once the verified
 links' components are known, the pairs of a list that lie in different ones. So a large group of near
 copies costs a few candidates a node instead of all its pairs. The length and positional filters
-work in the join; then each pair is compared once, first by the suffix filter (counts of both
-remainders in 16 ranges of hashes bound the overlap), then exactly.
+work in the join, and so does a suffix filter (parities of the counts in 512 ranges of hashes bound how much two
+sets differ); each pair that is left is compared once, by counts in 16 ranges and then exactly.
 
 Defined cases: a null text, an empty one and one without words have the empty set, which links with
 nothing; with fewer words than n the whole sequence is the only shingle; repeated rows share a
@@ -23,6 +23,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,28 @@ from .components import components
 #: Entries of the broadcast table of frequent shingles at most (12 MB).
 FREQUENT = 1_000_000
 #: A task holds its counts of shingles for so many shingles, then reports and starts afresh.
-COUNTED = 6_000_000
+COUNTED = 3_000_000
 RANGES = 16
+#: Ranges of hashes of the signature that the suffix filter compares before sets are fetched.
+SIGNATURE = 512
+#: Sets of WIDE_FROM shingles or more have a second signature of WIDE ranges, for the pairs that the first one leaves.
+WIDE, WIDE_FROM = 4096, 512
+#: Nodes of a short posting list at most.
+SHORT = 8
+#: The posting list of a frequent shingle is dealt to so many tasks.
+SALTS = 32
 
 
-def shingles(raw: bytes, hashes: shared.WordHashes, n: int) -> np.ndarray:
+def shingles(raw: bytes, n: int) -> np.ndarray:
     """The sorted distinct shingles of a text in UTF-8."""
-    words = raw.lower().split()  # bytes: A-Z and ASCII white space alone
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    return np.unique(shared.grams(h, min(n, len(h))))
+    h = shared.word_hashes(raw.lower())  # of bytes: A-Z alone
+    return shared.distinct(shared.grams(h, min(n, len(h)))) if len(h) else h
+
+
+def parities(s: np.ndarray, ranges: int) -> np.ndarray:
+    """For each of the ranges of hashes whether the set has an odd number in it, as bits of whole numbers."""
+    odd = np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -70,37 +82,43 @@ def prefix(size: int, num: int, den: int) -> int:
 
 def _nodes(n: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         seen: set[int] = set()
         pending: list[np.ndarray] = []
 
         def frequent() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(pending), return_counts=True)
+            every = np.concatenate(pending)
             pending.clear()
-            values, counts = values[counts > 2], counts[counts > 2]
+            every.sort()  # in place: this is the most that a task holds
+            values = shared.distinct(every[:-2][every[:-2] == every[2:]])
+            counts = np.searchsorted(every, values, "right") - np.searchsorted(every, values, "left")
             none = [None] * len(values)
-            return table(none, none, none, none, shared.signed(values), counts)
+            return table(none, none, none, none, shared.signed(values), counts, none, none)
 
         def table(*columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_key", "size", "node", "shingle", "n"])
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "size", "node", "shingle", "n", "parities", "wide"])
 
         held = 0
         for batch in batches:
             ids, said = batch.column("doc_id"), batch.column("text")
-            sizes, nodes = [], []
+            sizes, nodes, signatures, wide = [], [], [], []
             for i in range(len(said)):
-                s = shingles(said[i].as_py(), hashes, n)
+                s = shingles(said[i].as_py(), n)
                 sizes.append(len(s))
                 nodes.append(node_of(s))
+                signatures.append(None)
+                wide.append(None)
                 if nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     pending.append(s)
                     held += len(s)
+                    signatures[-1] = parities(s, SIGNATURE)
+                    wide[-1] = parities(s, WIDE) if len(s) >= WIDE_FROM else None
                 if held > COUNTED:
                     yield frequent()
                     held = 0
             none = [None] * len(sizes)
-            yield table(ids, batch.column("text_key"), sizes, nodes, none, none)
+            yield table(ids, batch.column("text_key"), sizes, nodes, none, none, signatures, wide)
         if pending:
             yield frequent()
 
@@ -109,38 +127,33 @@ def _nodes(n: int):
 
 def _postings(n: int, num: int, den: int, frequent):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         common, counts = (np.frombuffer(x, k) for x, k in zip(frequent.value, (np.uint64, np.uint32), strict=True))
         seen: set[int] = set()
         for batch in batches:
             said = batch.column("text")
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
             for i in range(len(said)):
-                s = shingles(said[i].as_py(), hashes, n)
+                s = shingles(said[i].as_py(), n)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 p = prefix(len(s), num, den)
+                usual = np.zeros(len(s), bool)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    rare = common[at] != s
-                    if rare.sum() < p:  # the rarest of the frequent ones follow
-                        rest = np.flatnonzero(~rare)
-                        rest = rest[np.argsort(counts[at[rest]], kind="stable")]
-                        s = np.concatenate([s[rare], s[rest]])
-                        first = s[:p]
-                    else:
-                        first = s[rare][:p]
-                else:
-                    first = s[:p]
-                out.append((shared.signed(first), node, len(s)))
+                    usual = common[at] == s
+                first = s[~usual][:p]
+                rest = np.flatnonzero(usual)
+                rest = s[rest[np.argsort(counts[at[rest]], kind="stable")]][: p - len(first)] if len(first) < p else s[:0]  # the rarest of them
+                out.append((shared.signed(np.concatenate([first, rest])), np.arange(p) >= len(first), node, len(s)))
             lengths = [len(x[0]) for x in out]
-            flat = np.concatenate([x[0] for x in out]) if out else np.empty(0, np.int64)
-            place = np.concatenate([np.arange(k) for k in lengths]) if out else flat
-            packed = np.repeat([x[2] for x in out], lengths).astype(np.int64) << 32 | place.astype(np.int64)
+            join = lambda arrays, kind: np.concatenate(arrays) if out else np.empty(0, kind)
+            flat, hot = join([x[0] for x in out], np.int64), join([x[1] for x in out], bool)
+            packed = np.repeat([x[3] for x in out], lengths).astype(np.int64) << 32 | join([np.arange(k) for k in lengths], np.int64)
+            nodes = np.repeat([x[2] for x in out], lengths).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat, pa.int64()), pa.array(np.repeat([x[1] for x in out], lengths).astype(np.int64), pa.int64()), pa.array(packed, pa.int64())],
-                names=["shingle", "node", "at"],
+                [pa.array(flat, pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.int64()), pa.array(np.where(hot, nodes % SALTS + 1, 0), pa.int64())],
+                names=["shingle", "node", "at", "salt"],
             )
 
     return of
@@ -150,13 +163,13 @@ def _sets(n: int, wanted):
     """The sets of the nodes whose bit is set, one row per task and node."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = shared.WordHashes(), np.frombuffer(wanted.value, np.uint8)
+        bits = np.frombuffer(wanted.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             said, keys = batch.column("text"), batch.column("bit").to_numpy()
             nodes, sets = [], []
             for i in np.flatnonzero(bits[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).tolist():
-                s = shingles(said[i].as_py(), hashes, n)
+                s = shingles(said[i].as_py(), n)
                 node = node_of(s)
                 if node >= 0 and node not in seen:
                     seen.add(node)
@@ -199,8 +212,8 @@ def _bitmap(values: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-#: Bits of the bitmap by which the sets' pass tells the documents it needs (16 MB).
-BITS = 1 << 27
+#: Bits of the bitmap by which the sets' pass tells the documents it needs (8 MB).
+BITS = 1 << 26
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -212,7 +225,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     text = F.coalesce("text", F.lit(""))
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
 
-    first = shared.stored(bare.mapInArrow(_nodes(n), "doc_id bigint, text_key bigint, size bigint, node bigint, shingle bigint, n bigint"), "nodes")
+    first = shared.stored(bare.mapInArrow(_nodes(n), "doc_id bigint, text_key bigint, size bigint, node bigint, shingle bigint, n bigint, parities array<bigint>, wide array<bigint>"), "nodes")
     rows = first.filter("size is not null").select("doc_id", "text_key", "size", "node")
     common = (
         first.filter("n is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
@@ -222,56 +235,99 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     counts = np.minimum(common["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32)
     frequent = spark.sparkContext.broadcast((values[order].tobytes(), counts[order].tobytes()))
 
-    postings = bare.select("text").mapInArrow(_postings(n, num, den, frequent), "shingle bigint, node bigint, at bigint")
-    # Lists of one node give nothing; the rest is a small part. One row per node, whatever its copies.
-    shares = postings.groupBy("shingle", "node").agg(F.min("at").alias("at"))
-    lists = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.min_by("at", "node").alias("head_at")).filter("n > 1")
-    listed = shared.stored(shares.join(lists.drop("n"), "shingle"), "lists")
+    postings = bare.select("text").mapInArrow(_postings(n, num, den, frequent), "shingle bigint, node bigint, at bigint, salt bigint")
+    # Dealt once; a list is in one task, but for those of frequent shingles, which are far fewer rows and are put together by a join.
+    dealt = postings.repartition("shingle", "salt")
+    rare, hot = dealt.filter("salt = 0"), dealt.filter("salt > 0").select("shingle", "node", "at")
+
+    def with_heads(df: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows of lists of two nodes or more, with one of the list's nodes: another one in each list of the same nodes."""
+        turn = F.xxhash64("node", "shingle")
+        heads = df.groupBy(*keys).agg(F.min_by("node", turn).alias("head"), F.min_by("at", turn).alias("head_at"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        return df.join(heads.filter("lo <> hi"), keys).select("shingle", "node", "at", "head", "head_at")
+
+    listed = shared.stored(with_heads(rare, ["shingle", "salt"]).unionByName(with_heads(hot, ["shingle"])), "lists")
 
     size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
 
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """a, b of the rows (a, a_at, b, b_at) that pass the length and positional filters."""
-        sa, sb = size("a_at"), size("b_at")
-        least = F.ceil(num * (sa + sb) / (den + num))
-        left = F.least(sa - place("a_at"), sb - place("b_at"))
-        # The first shingle a pair shares has at most `left` common ones from there on; a later one's row may fail, the first one's doesn't.
-        pairs = pairs.filter((F.least(sa, sb) * den >= F.greatest(sa, sb) * num) & (left >= least))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    signatures = first.filter("parities is not null").groupBy("node").agg(F.first("parities").alias("parities"))
+
+    wides = first.filter("wide is not null").groupBy("node").agg(F.first("wide").alias("wide"), F.first("size").alias("size"))
+
+    def signed(df: DataFrame, node: str, name: str) -> DataFrame:
+        """df with the node's signature as `name`."""
+        return df.join(signatures.select(F.col("node").alias("_node"), F.col("parities").alias(name)), F.col(node) == F.col("_node")).drop("_node")
+
+    def least(a: str, b: str):
+        return F.ceil(num * (size(a) + size(b)) / (den + num))
+
+    def possible(a: str, b: str):
+        """The length and positional filters: the first shingle that a pair shares has at most so many common ones from there on (a later one's row may fail)."""
+        left = F.least(size(a) - place(a), size(b) - place(b))
+        return (F.least(size(a), size(b)) * den >= F.greatest(size(a), size(b)) * num) & (left >= least(a, b))
+
+    def near(a: str, b: str):
+        """The suffix filter: sets differ in at least as many shingles as ranges in which their parities differ."""
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("x_parities")[k].bitwiseXOR(F.col("y_parities")[k])) for k in range(SIGNATURE // 64)])
+        return differ <= size(a) + size(b) - 2 * least(a, b)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     slot = F.xxhash64("doc_id").bitwiseAND(BITS - 1)
-    members = listed.select("node").distinct()
-    owners = rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(members, "node", "left_semi")
-    wanted = spark.sparkContext.broadcast(_bitmap(owners.select(slot.alias("bit")), BITS))
+    owners = rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
     keyed = bare.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(BITS - 1).alias("bit"))
-    found = keyed.mapInArrow(_sets(n, wanted), "node bigint, members binary")
-    sets = shared.stored(found.join(members, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links. Only the sets of their nodes are made again, each from its first document, which a bitmap tells; one bit too many costs time alone."""
+        for own, other in (("a", "x"), ("b", "y")):
+            side = wides.select(F.col("node").alias(own), F.col("wide").alias(f"{other}_wide"), F.col("size").alias(f"{other}_size"))
+            pairs = pairs.join(side, own, "left")
+        differ = F.aggregate(F.zip_with("x_wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = F.col("x_size") + F.col("y_size")
+        pairs = pairs.filter(F.coalesce(differ <= both - 2 * F.ceil(num * both / (den + num)), F.lit(True)))
+        pairs = shared.stored(pairs.select("a", "b"), "pairs")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = spark.sparkContext.broadcast(_bitmap(owners.join(members, "node", "left_semi").select(slot.alias("bit")), BITS))
+        sets = shared.stored(keyed.mapInArrow(_sets(n, wanted), "node bigint, members binary"), "sets")
         x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint")
 
+    def near_pairs(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, a_at, b_at), each once, those that pass the suffix filter."""
+        once = pairs.groupBy("a", "b").agg(F.first("a_at").alias("a_at"), F.first("b_at").alias("b_at"))
+        return signed(signed(once, "a", "x_parities"), "b", "y_parities").filter(near("a_at", "b_at"))
+
     one = listed.filter("node <> head").select(F.col("head").alias("a"), F.col("head_at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at"))
-    links = shared.stored(verified(filtered(one)), "links")
+    one = near_pairs(one.filter(possible("a_at", "b_at")))
+    links = shared.stored(verified(ordered(one)), "links")
     roots = components(links)
 
     def labelled(nodes: DataFrame) -> DataFrame:
         return nodes.join(roots.select(F.col("node"), F.col("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     placed = labelled(listed.select("shingle", "node", "at"))
-    open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    still = shared.stored(placed.join(open_lists, "shingle", "left_semi"), "open")
-    u = still.select("shingle", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("root").alias("ra"))
-    v = still.select("shingle", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("rb"))
-    close = (F.least(size("a_at"), size("b_at")) * den >= F.greatest(size("a_at"), size("b_at")) * num)
-    two = u.join(v, (u.shingle == v.shingle) & (F.col("ra") < F.col("rb")) & close)
-    more = verified(filtered(two).join(links, ["a", "b"], "left_anti"))
+    open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("shingle", "n")
+    still = shared.stored(placed.join(open_lists, "shingle"), "open")
+
+    def across(df: DataFrame, more: list[str], passes) -> DataFrame:
+        """The pairs of a list's nodes in different components that pass the filters."""
+        u = df.select("shingle", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("root").alias("ra"), *[F.col(c).alias(f"x_{c}") for c in more])
+        v = df.select("shingle", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("rb"), *[F.col(c).alias(f"y_{c}") for c in more])
+        return u.join(v, (u.shingle == v.shingle) & (F.col("ra") < F.col("rb")) & passes).select("a", "b", "a_at", "b_at")
+
+    # The many short lists give few pairs each, which are filtered once they are distinct; in the long ones the rows
+    # carry the signatures, so that pairs are filtered before they are made.
+    short = near_pairs(across(still.filter(F.col("n") <= SHORT), [], possible("a_at", "b_at")))
+    long = across(signed(still.filter(F.col("n") > SHORT), "node", "parities"), ["parities"], possible("a_at", "b_at") & near("a_at", "b_at"))
+    two = short.select("a", "b").union(long.select("a", "b"))
+    more = shared.stored(verified(ordered(two).join(links, ["a", "b"], "left_anti")), "links")
     roots = components(links.union(more))
 
     named = labelled(rows)
     order = "struct(doc_id is null as unknown, doc_id as id, text_key as key)"
-    smallest = named.groupBy("root").agg(F.expr(f"min({order})").alias("first")).withColumnRenamed("root", "_root")
+    smallest = named.groupBy("root").agg(F.expr(f"min({order})").alias("first")).withColumnRenamed("root", "_root").hint("rebalance")
     alone = F.col("node") < 0
     return named.join(smallest, F.col("root") == F.col("_root")).select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"),

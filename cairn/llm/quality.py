@@ -65,31 +65,30 @@ def covered(lengths: np.ndarray) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def judged(raw: bytes, hashes: shared.WordHashes, min_words: int, least: int, most_covered: float, most_longest: float) -> tuple:
+def judged(raw: bytes, min_words: int, least: int, most_covered: float, most_longest: float) -> tuple:
     """The columns of SCHEMA after doc_id for a text in UTF-8."""
-    words = raw.split()
-    n = len(words)
-    chars = np.frombuffer(b"".join(words), np.uint8)
+    h = shared.word_hashes(raw)
+    n = len(h)
+    b = np.frombuffer(raw, np.uint8)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     three = spans = longest = 0
     if n > 3:
-        repeats = longest_repeats(hashes.of(words))
+        repeats = longest_repeats(h)
         three = covered(np.where(repeats >= 3, 3, 0))
         long = np.where(repeats >= least, repeats, 0)
         spans, longest = covered(long), int(long.max())
     failed = n < min_words or 100 * three > 50 * n
     symbols = sum(raw.count(SYMBOLS[j : j + 1]) for j in range(len(SYMBOLS)))
     kept = not failed and spans <= most_covered * n and longest <= most_longest * n
-    return n, int(((chars & 0xC0) != 0x80).sum()), symbols, len(lines) - len(set(lines)), three, failed, spans, longest, kept
+    return n, int((((b & 0xC0) != 0x80) & ~shared.SPACE[b]).sum()), symbols, len(lines) - len(set(lines)), three, failed, spans, longest, kept
 
 
 def _judge(*limits):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2 + [pa.bool_()]
         for batch in batches:
             said = batch.column("text")
-            rows = [judged(said[i].as_py(), hashes, *limits) for i in range(len(said))]
+            rows = [judged(said[i].as_py(), *limits) for i in range(len(said))]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(",")])
 
@@ -98,10 +97,9 @@ def _judge(*limits):
 
 def _pass(*limits):
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in batches:
             said = batch.column("text")
-            yield batch.filter(pa.array([judged((said[i].as_py() or "").encode(), hashes, *limits)[-1] for i in range(len(said))], pa.bool_()))
+            yield batch.filter(pa.array([judged((said[i].as_py() or "").encode(), *limits)[-1] for i in range(len(said))], pa.bool_()))
 
     return only
 

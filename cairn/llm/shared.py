@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,17 +64,41 @@ def ranked(df: DataFrame, group: str, bucket, order: list, name: str) -> DataFra
     )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes); each word is hashed once as long as the table holds it."""
+#: Bytes of white space, and the base of the word hashes with its inverse modulo 2**64.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = 0x2545F4914F6CDD1D
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _grown(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of INVERSE, n at least."""
+    if len(_powers[0]) < n:
+        size = 1 << max(17, n.bit_length())
+        for k, base in enumerate((BASE, INVERSE)):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in UTF-8, in order: words are what ASCII white space separates.
+
+    Prefix sums of byte times power give every word's polynomial at once; it is moved to power 0, and mixed with the length.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[b], [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _grown(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return mixed(h, (ends - starts).astype(np.uint64))
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats."""
+    s = np.sort(a)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:

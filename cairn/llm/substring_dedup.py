@@ -59,10 +59,9 @@ def _bit(h: np.ndarray) -> np.ndarray:
 
 def _anchors(window: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.WordHashes()
         for batch in batches:
             said = batch.column("text")
-            found = [np.unique(minimisers(hashes.of(said[i].as_py().split()), window)) for i in range(len(said))]
+            found = [shared.distinct(minimisers(shared.word_hashes(said[i].as_py()), window)) for i in range(len(said))]
             yield pa.RecordBatch.from_arrays([shared.lists([shared.signed(x) for x in found], pa.int64())], names=["anchors"])
 
     return of
@@ -72,24 +71,23 @@ def _places(window: int, bitmap):
     """The dictionary's entries: each candidate window of a document, at its first place there."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = shared.WordHashes(), np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(bitmap.value, np.uint8)
         seen: dict[bytes, tuple] = {}  # an equal text with a larger key can't be first anywhere
         for batch in batches:
             ids, keys, said = (batch.column(c) for c in ("doc_id", "key", "text"))
             out = []
             for i in range(len(said)):
-                words = said[i].as_py().split()
-                if len(words) < window:
+                h = shared.word_hashes(said[i].as_py())
+                if len(h) < window:
                     continue
                 mine = ids[i].as_py()
                 mine = (mine is not None, mine or 0, keys[i].as_py())
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 if seen.get(digest, mine) < mine:
                     continue
                 if len(seen) >= shared.WORDS_HELD:
                     seen.clear()
                 seen[digest] = mine
-                h = hashes.of(words)
                 at = candidates(h, window, bits)
                 w, first = np.unique(shared.grams(h, window)[at], return_index=True)
                 out.append((i, shared.signed(w), at[first]))
@@ -133,18 +131,18 @@ def parse(h: np.ndarray, window: int, bits: np.ndarray, firsts: np.ndarray) -> l
 
 def _cut(window: int, bitmap, names: list[str], schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = shared.WordHashes(), np.frombuffer(bitmap.value, np.uint8)
+        bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             said, firsts = batch.column("__cairn_text"), batch.column("__cairn_firsts")
             counts, removed, spans, left = [], [], [], []
             for i in range(len(said)):
                 raw = said[i].as_py()
-                words = raw.split()
-                at = firsts[i].values
-                factors = parse(hashes.of(words), window, bits, at.to_numpy() if at is not None else np.empty(0, np.int64))
-                counts.append(len(words))
+                h, at = shared.word_hashes(raw), firsts[i].values
+                factors = parse(h, window, bits, at.to_numpy() if at is not None else np.empty(0, np.int64))
+                counts.append(len(h))
                 removed.append(sum(b - a for a, b in factors))
                 spans.append([{"start": a, "end": b} for a, b in factors])
+                words = raw.split() if factors else []
                 for a, b in reversed(factors):
                     del words[a:b]
                 left.append(b" ".join(words) if factors else raw)
@@ -163,7 +161,9 @@ def single_spaced(text: Column) -> Column:
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """docs, with _n_words, _n_removed, _spans (of words) and _left: the text, untouched where nothing is removed, else the kept words joined by one space."""
     spark = docs.sparkSession
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Only where ids repeat has a document to be told from others by its text.
+    repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    key = F.xxhash64(F.coalesce("text", F.lit(""))) if repeated else F.lit(0).cast("long")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), raw.alias("text"))
 

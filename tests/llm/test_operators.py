@@ -303,6 +303,22 @@ def test_jaccard_join_in_large_groups(spark):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components(plain_sets(rows, 4), 85)
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """Sets that are large enough for the second signature, with similarities on both sides of the threshold."""
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(1500)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        words = list(base)
+        for _ in range(i * 2):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([*base[:60], *(f"y{rng.randrange(10**6)}" for _ in range(1200))])) for i in range(12)]
+    got = by_id(jaccard_join.similarity_classes(frame(spark, rows).repartition(2), 4, 85, 100))
+    want = plain_components(plain_sets(rows, 4), 85)
+    assert {i: r["component_id"] for i, r in got.items()} == want and 1 < sum(want[i] == 0 for i in range(40)) < 40
+
+
 # 7. Packing
 
 
