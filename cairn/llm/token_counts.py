@@ -59,7 +59,8 @@ def cached(spark, cache: str, version: str) -> DataFrame:
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "content binary, n_tokens bigint")
     rows = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
-    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have appended the same content
+    # Two runs may have appended the same content. The sum is dealt anew before a join, which can then split the other side's hot contents.
+    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).hint("rebalance")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
