@@ -39,17 +39,17 @@ def _pieces(path: str, capacity: int):
         bpe = WordBpe(path)
 
         class Ids(dict):
-            def __missing__(self, word: str) -> bytes:
+            def __missing__(self, token: str) -> bytes:
                 if len(self) >= shared.WORDS_HELD:
                     self.clear()
-                self[word] = out = np.array(bpe.ids(word), "<u4").tobytes()
+                self[token] = out = np.array([i for w in bpe.words_of(token) for i in bpe.ids(w)], "<u4").tobytes()
                 return out
 
         known, end = Ids(), np.array([END], "<u4").tobytes()
         for batch in batches:
             said, out, docs = batch.column("text"), ([], [], [], []), []
             for i in range(len(said)):
-                raw = b"".join(map(known.__getitem__, bpe.words(said[i].as_py()))) + end
+                raw = b"".join(map(known.__getitem__, bpe.tokens(said[i].as_py()))) + end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[at : at + 4 * capacity]
                     docs.append(i)
