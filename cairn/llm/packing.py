@@ -39,13 +39,21 @@ def _pieces(path: str, capacity: int):
         bpe = WordBpe(path)
 
         class Ids(dict):
-            def __missing__(self, token: str) -> bytes:
+            """The ids of tokens or words, as bytes; make() gives those it lacks."""
+
+            def __init__(self, make):
+                super().__init__()
+                self.make = make
+
+            def __missing__(self, key: str) -> bytes:
                 if len(self) >= shared.WORDS_HELD:
                     self.clear()
-                self[token] = out = np.array([i for w in bpe.words_of(token) for i in bpe.ids(w)], "<u4").tobytes()
+                self[key] = out = self.make(key)
                 return out
 
-        known, end = Ids(), np.array([END], "<u4").tobytes()
+        of_words = Ids(lambda w: np.array(bpe.ids(w), "<u4").tobytes())
+        known = Ids(lambda t: b"".join([of_words[w] for w in bpe.words_of(t)]))
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             said, out, docs = batch.column("text"), ([], [], [], []), []
             for i in range(len(said)):
