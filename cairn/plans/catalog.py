@@ -29,7 +29,7 @@ r AS (SELECT DISTINCT substr(name, 1, 3 + instr(substr(name, 4), '/')) AS entry_
 SELECT entry_name, 0 AS entry_type, -1 AS rank, NULL::VARCHAR AS version_id, NULL::VARCHAR AS snapshot, '' AS generation_id, 0 AS is_uncommitted, 0 AS is_directory FROM r""")
 def q_list_delimiter(spark, sf):
     rows = listing.eligible(d.blobs(spark, sf), "en", prefix="src")
-    return listing.page(listing.rolled_up(rows, "src", "/"))
+    return listing.rolled_up(rows, "src", "/").orderBy(*listing.order())
 
 
 @query(f"""WITH {d.VERSIONS}, e AS ({_eligible('versions', 'c', 'NOT is_deleted', True)})
@@ -54,7 +54,7 @@ def q_list_keyset_page(spark, sf):
 @query(f"""WITH {d.BLOBS}, e AS ({_eligible('blobs', 'en', "is_current AND NOT is_deleted AND name >= 'src1/' AND name < 'src3'")}) SELECT {ENTRY} FROM e""")
 def q_list_bounds(spark, sf):
     rows = listing.eligible(d.blobs(spark, sf), "en", start_from="src1/", end_before="src3")
-    return listing.page(listing.entries(rows))
+    return listing.entries(rows).orderBy(*listing.order())
 
 
 @query(f"""WITH {d.BLOBS}, e AS ({_eligible('blobs', 'de', "is_current AND NOT is_deleted AND name LIKE 'src1%'")}),
@@ -64,7 +64,7 @@ SELECT entry_name, 0 AS entry_type, -1 AS rank, NULL::VARCHAR AS version_id, NUL
 UNION ALL SELECT {ENTRY} FROM c WHERE NOT (is_directory = 1 OR o > 0)""")
 def q_list_directories(spark, sf):
     rows = listing.eligible(d.blobs(spark, sf), "de", prefix="src1", recursive=True)
-    return listing.page(listing.rolled_up(rows, "src1", "/", directories=True), recursive=True)
+    return listing.rolled_up(rows, "src1", "/", directories=True).orderBy(*listing.order(recursive=True))
 
 
 @query(f"""WITH {d.BLOBS}, {d.STAGED} SELECT DISTINCT blob_name AS name FROM staged s WHERE NOT EXISTS (SELECT 1 FROM blobs b WHERE b.container = s.container AND b.name = s.blob_name AND b.is_current AND NOT b.is_deleted)""")

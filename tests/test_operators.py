@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.compare import numeric_text
 from cairn.operators import aggregates, conditions, inventory, lifecycle, listing, manifests, ranges, request_logs, tags
+from cairn.plans import catalog
 from cairn.streaming import hourly_logs
 
 
@@ -184,6 +185,21 @@ def test_pages_join_up(spark):
         assert got == whole
 
 
+@pytest.mark.parametrize("name", ["q_list_bounds", "q_list_delimiter", "q_list_directories"])
+def test_listings_are_whole(spark, tmp_path, name):
+    """More entries than a page has, in the listing's order."""
+    n = 6000
+    lang, source = ("de", "src1x") if name == "q_list_directories" else ("en", "src2")
+    docs = spark.range(n).select((F.col("id") * 680).alias("doc_id"), F.lit("t").alias("text"), F.lit(lang).alias("lang"), F.lit(source).alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    if name != "q_list_bounds":  # each object in a folder of its own, so that common prefixes are many as well
+        docs = docs.withColumn("source", F.concat("source", F.col("doc_id").cast("string")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = getattr(catalog, name)(spark, str(tmp_path)).collect()
+    assert len(rows) == n
+    key = (lambda x: x.replace("/", "\0")) if name == "q_list_directories" else (lambda x: x)
+    assert [r["entry_name"] for r in rows] == sorted((r["entry_name"] for r in rows), key=key)
+
+
 def test_rights(spark):
     acl = "user::rw-,user:bob:rwx,group::r--,group:dev:-wx,mask::rw-,other::---,default:user::rwx,default:group::r-x,default:other::---"
     def ask(who, groups, p):
