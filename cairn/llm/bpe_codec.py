@@ -120,7 +120,7 @@ def _encode_words(path: str):
                 if got is None:
                     got = known[w] = made[0].ids(w)
                 each.append(got)
-            lengths.append(np.array([len(x) for x in each], np.uint16).tobytes())
+            lengths.append(np.array([len(x) for x in each], np.uint32).tobytes())
             ids.append(np.array([i for x in each for i in x], np.uint32).tobytes())
         return table.drop_columns(["words"]).append_column("ids", pa.array(ids, pa.binary())).append_column("lengths", pa.array(lengths, pa.binary()))
 
@@ -171,7 +171,7 @@ def _assemble(path: str):
         shares = shares.sort_by("bucket")
         said, decoded, counts = [], [], []
         for ids, lengths in zip(shares.column("ids").to_pylist(), shares.column("lengths").to_pylist(), strict=True):
-            flat, sizes = np.frombuffer(ids, np.uint32).tolist(), np.frombuffer(lengths, np.uint16).tolist()
+            flat, sizes = np.frombuffer(ids, np.uint32).tolist(), np.frombuffer(lengths, np.uint32).tolist()
             at = 0
             for k in sizes:
                 own = flat[at : at + k]

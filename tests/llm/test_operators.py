@@ -241,6 +241,16 @@ def test_bpe_codec(spark, docs, rows):
     assert all(back[i]["text"] == tok.decode(x, skip_special_tokens=False) for i, x in some)
 
 
+def test_bpe_codec_of_a_long_word(spark):
+    """One word of more ids than two bytes count."""
+    rng = random.Random(8)
+    t = "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=200_000))
+    want = tokenizers.Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids
+    assert len(want) > 70_000 and len(WordBpe(WORDS).words(t)) == 1
+    got = by_id(bpe_codec.encoded(frame(spark, [(1, t), (2, "a b")]), WORDS))
+    assert (got[1]["n_tokens"], got[1]["ids_sha256"]) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+
+
 def test_words_are_the_librarys():
     bpe, rng = WordBpe(WORDS), random.Random(3)
     kinds = [(32, 127), (0, 0x250), (0, 0x3000), (0x1F000, 0x1F700)]
