@@ -11,6 +11,10 @@ Kinds: email (letters and digits before the @), iban (digits of the account), ca
 country code), ip (v4), date (1900-01-01 to 2079-06-06, with year first or last), secret (32 to 64 hexadecimal digits). Values that fail their
 validation stay as they are.
 
+A run of numbers with single spaces or hyphens between them is searched for cards from left to right: from each number, the
+longest stretch of 13 to 19 digits that ends with a number and passes Luhn. An IBAN may have single spaces between groups of
+four; of the groups that follow its head, the most that pass mod 97 are its own.
+
 Defined cases: a null text stays null and has no findings; an empty one stays empty; repeated rows give equal rows; an empty
 table gives no rows; other columns are kept. No shuffle takes place.
 """
@@ -36,8 +40,14 @@ KINDS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
-    "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
+#: A run of numbers whose first 13 to 19 digits end with a number; it stops where a value of another kind starts.
+KINDS["card"] = (
+    r"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9]))[0-9]++"
+    rf"(?:[ -](?!{'|'.join(KINDS[k] for k in ('email', 'secret', 'ssn', 'date', 'ip'))})[0-9]++(?![A-Za-z0-9]))*+"
+)
+#: An IBAN in groups of four and what may still belong to it, at each place where one may start.
+SPACED_IBAN = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?(?![A-Za-z0-9])))"
 ANY = "|".join(KINDS.values())
 LETTERS, AS_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
@@ -134,20 +144,58 @@ def _email(m: Column, key: Column) -> Column:
     return F.concat(refilled(named, "[0-9]", permuted(digits(local), 10, key, "email")), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
-def _card(m: Column, key: Column) -> Column:
-    def of(d: Column) -> Column:
-        body = permuted(F.substring(d, F.lit(1), F.length(d) - 1), 10, key, "card")
-        whole = let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 0) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, refilled(m, "[0-9]", whole)).otherwise(m)
+def _cards(m: Column, key: Column) -> Column:
+    """struct(said, n): a run of numbers with its cards replaced, and how many were."""
+
+    def moved(x: Column) -> Column:
+        def of(d: Column) -> Column:
+            body = permuted(F.substring(d, F.lit(1), F.length(d) - 1), 10, key, "card")
+            return refilled(x, "[0-9]", let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 0) % 10) % 10).cast("string"))))
+
+        return let(digits(x), of)
+
+    def of(p: Column) -> Column:
+        stretch = lambda i, k: F.array_join(F.slice(p, i + 1, k + 1), "")
+        valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0)
+        start = F.struct(F.lit("").alias("said"), F.lit(0).alias("n"), F.lit(0).alias("skip"))
+
+        def step(s: Column, i: Column) -> Column:
+            state = lambda said, n, skip: F.struct(said.alias("said"), n.alias("n"), skip.alias("skip"))
+            ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(18), F.size(p) - 1 - i)), lambda k: let(digits(stretch(i, k)), valid))
+            put = lambda x, k: let(moved(x), lambda y: state(F.concat(s["said"], y), s["n"] + (y != x).cast("int"), k))
+            longest = lambda k: F.when(k.isNull(), state(F.concat(s["said"], p[i]), s["n"], F.lit(0))).otherwise(let(stretch(i, k), lambda x: put(x, k)))
+            return F.when(s["skip"] > 0, state(s["said"], s["n"], s["skip"] - 1)).otherwise(let(F.array_max(ends), longest))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), start, step, lambda s: F.struct(s["said"].alias("said"), s["n"].alias("n")))
+
+    return let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), of)
 
-    return let(digits(m), of)
+
+def _is_iban(x: Column) -> Column:
+    return mod97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1
 
 
 def _iban(m: Column, key: Column) -> Column:
-    country, account = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    new = refilled(account, "[0-9]", permuted(digits(account), 10, key, "iban"))
-    check = let(new, lambda a: F.concat(country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
-    return F.when(mod97(F.concat(account, F.substring(m, 1, 4))) == 1, check).otherwise(m)
+    def of(x: Column) -> Column:
+        country, account = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        new = refilled(account, "[0-9]", permuted(digits(account), 10, key, "iban"))
+        check = let(new, lambda a: F.concat(country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+        return F.when(_is_iban(x), refilled(m, "[A-Z0-9]", check)).otherwise(m)
+
+    return let(F.replace(m, F.lit(" ")), of)
+
+
+def _spaced_ibans(text: Column) -> Column:
+    """The valid IBANs of a text that are in groups of four."""
+
+    def of(m: Column) -> Column:
+        g = F.split(m, " ")
+        starts = F.transform(F.sequence(F.lit(4), F.size(g)), lambda k: F.array_join(F.slice(g, 1, k), " "))
+        stripped = lambda x: F.replace(x, F.lit(" "))
+        return F.try_element_at(F.filter(starts, lambda x: let(stripped(x), lambda y: F.length(y).between(15, 34) & _is_iban(y))), F.lit(-1))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(SPACED_IBAN), F.lit(1)), of)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def _walked(first: Column, again, valid) -> Column:
@@ -197,32 +245,35 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def pseudonym(m: Column, key: Column) -> Column:
+    """struct(said, n): what is put in place of a value, and how many values were replaced."""
     is_kind = lambda k: m.rlike(f"^(?:{KINDS[k]})$")
-    return (
-        F.when(m.contains("@"), _email(m, key)).when(is_kind("iban"), _iban(m, key))
+    single = (
+        F.when(m.contains("@"), _email(m, key)).when(is_kind("iban") | m.rlike("^[A-Z]"), _iban(m, key))
         .when(is_kind("secret"), permuted(m, 16, key, "secret")).when(is_kind("ssn"), _ssn(m, key)).when(is_kind("date"), _date(m, key))
-        .when(is_kind("ip"), _ip(m, key)).when(is_kind("phone"), _phone(m, key)).otherwise(_card(m, key))
+        .when(is_kind("ip"), _ip(m, key)).when(is_kind("phone"), _phone(m, key))
     )
+    return let(single, lambda x: F.when(x.isNull(), _cards(m, key)).otherwise(F.struct(x.alias("said"), (x != m).cast("int").alias("n"))))
 
 
 def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
     """struct(text, n_changed): the text with every valid value replaced, and how many were."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    spaced = let(_spaced_ibans(text), lambda x: F.when(F.size(x) == 0, F.lit(ANY)).otherwise(F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(x, "|"), F.lit(f")(?![A-Za-z0-9])|{ANY}"))))
 
-    def of(values: Column) -> Column:
+    def of(values: Column, pattern: Column) -> Column:
         new = F.transform(values, lambda m: pseudonym(m, F.lit(key)))
 
         def put(to: Column) -> Column:
-            gaps = F.split(text, ANY, -1)
-            said = let(gaps, lambda g: F.concat(g[0], F.array_join(F.zip_with(to, F.slice(g, 2, F.size(g)), lambda p, q: F.concat(p, q)), "")))
-            changed = F.size(F.filter(F.zip_with(values, to, lambda a, b: a != b), lambda x: x))
-            return F.struct(said.alias("text"), changed.cast("long").alias("n_changed"))
+            gaps = F.split(text, pattern, -1)
+            said = let(gaps, lambda g: F.concat(g[0], F.array_join(F.zip_with(to, F.slice(g, 2, F.size(g)), lambda p, q: F.concat(p["said"], q)), "")))
+            changed = F.aggregate(to, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+            return F.struct(said.alias("text"), changed.alias("n_changed"))
 
         same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_changed"))
         return F.when(F.size(values) == 0, same).otherwise(let(new, put))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_changed"))
-    return F.when(text.rlike("[0-9@]"), let(found, of)).otherwise(same)
+    found = let(spaced, lambda pattern: let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda values: of(values, pattern)))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(same)
 
 
 def without_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:

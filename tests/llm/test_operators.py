@@ -183,6 +183,34 @@ def test_pseudonyms(spark):
     assert got[10]["text"].split()[1][:4] == got[11]["text"].split()[1].rstrip(",").split(".")[2]  # one day in two layouts stays one day
 
 
+IBAN = "GB82 WEST 1234 5698 7654 32"
+ES_IBAN = "ES91 2100 0418 4502 0005 1332"
+
+
+AMONG = [
+    (f"{CARD} 12/26", [CARD]), (f"{CARD} 123", [CARD]), (f"no 56 78 {CARD}", [CARD]), (f"{CARD} 5500 0000 0000 0004", [CARD, "5500 0000 0000 0004"]), (f"7 {CARD} 12th", [CARD]),
+    (f"{CARD} 123-45-6789", [CARD, "123-45-6789"]), (f"{CARD} 192.168.17.254", [CARD, "192.168.17.254"]), (f"{CARD} " + "1 " * 300, [CARD]),
+    (IBAN, [IBAN]), (f"{ES_IBAN} FROM", [ES_IBAN]), (f"AB12 CODE {IBAN} AND", [IBAN]), (f"{ES_IBAN} {CARD}", [ES_IBAN, CARD]), (f"AB12 {CARD}", [CARD]), ("GB83 WEST 1234 5698 7654 32", []), (f"{BAD} 12/26", []),
+]
+
+
+def test_pseudonyms_among_other_numbers(spark):
+    alone = sorted({v for _, values in AMONG for v in values})
+    rows = pii.pseudonyms(frame(spark, [*enumerate(alone), *((100 + k, t) for k, (t, _) in enumerate(AMONG))])).collect()
+    got = {r["doc_id"]: r for r in rows}
+    new = {v: got[k]["text"] for k, v in enumerate(alone)}
+    for v in alone:
+        assert new[v] != v, v
+    for v in (IBAN, ES_IBAN):
+        d = new[v].replace(" ", "")
+        assert re.sub("[0-9]", "0", new[v]) == re.sub("[0-9]", "0", v) and int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1
+    for k, (text, values) in enumerate(AMONG):
+        want = text
+        for v in values:
+            want = want.replace(v, new[v])
+        assert (got[100 + k]["text"], got[100 + k]["n_changed"]) == (want, len(values)), text
+
+
 def test_pseudonyms_permute(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = {r[0] for r in df.select(pii.permuted(F.col("d"), 10, F.lit("k"), "card")).collect()}
