@@ -7,6 +7,10 @@ anchors at equal distances. The fingerprint is the SKETCH smallest distinct anch
 them for most documents; the likeness of two fingerprints is the share of common anchors among the SKETCH
 smallest of both together, 1 for equal ones.
 
+The columns with `anchors` in their names are of all anchors in order with their places, whatever the text's length. A link
+is two anchors that follow each other with the distance between them, so a common passage has common links wherever it
+stands; the positional likeness is the share of common links among all distinct ones of both, exact, and 1 for equal lists.
+
 Defined cases: a text of fewer than K words has one anchor, the hash of all its words; a text without words
 (null, empty, white space) has the empty fingerprint, like 1 to itself and 0 to others; repeated rows
 each get their row; a null id comes last; with one document the next one is itself; an empty table gives no rows; other columns are ignored.
@@ -54,12 +58,32 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(hashes, of)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The smallest distinct anchors, cut to 32 bits, in ascending order."""
-    cut = F.transform(anchors(text, k, s), lambda a: a["hash"].bitwiseAND(0xFFFFFFFF))
+def sketch(found: Column, size: int = SKETCH) -> Column:
+    """The smallest distinct ones of anchors, cut to 32 bits, in ascending order."""
+    cut = F.transform(found, lambda a: a["hash"].bitwiseAND(0xFFFFFFFF))
     return F.slice(F.array_sort(F.array_distinct(cut)), 1, size)
 
 
+def links(found: Column) -> Column:
+    """The distinct links of anchors, in order; a lone anchor is its own link."""
+
+    def link(a: Column, i: Column) -> Column:
+        after = F.get(found, i + 1)
+        return F.xxhash64(a["hash"], after["hash"], after["place"] - a["place"])
+
+    return F.array_distinct(F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.least(F.size(found), F.lit(1)))), link))
+
+
+def digest(found: Column) -> Column:
+    """SHA-256 of all anchors in order, with their places."""
+    return F.sha2(F.array_join(F.transform(found, lambda a: F.concat_ws(":", a["place"].cast("string"), a["hash"].cast("string"))), " "), 256)
+
+
+def of_text(text: Column) -> Column:
+    """struct(sketch, links, digest)"""
+    return let(anchors(text), lambda a: F.struct(sketch(a).alias("sketch"), links(a).alias("links"), digest(a).alias("digest")))
+
+
 def fingerprint(own: Column) -> Column:
     return F.array_join(F.transform(own, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
@@ -69,6 +93,13 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     return F.when(a == b, 1.0).otherwise(let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1))))
 
 
+def positional_likeness(a: Column, b: Column) -> Column:
+    """The share of common links, of fingerprints as of_text() gives them."""
+    common = F.size(F.array_intersect(a["links"], b["links"]))
+    both = lambda n: F.size(a["links"]) + F.size(b["links"]) - n
+    return F.when(a["digest"] == b["digest"], 1.0).otherwise(let(common, lambda n: n / F.greatest(both(n), F.lit(1))))
+
+
 def _buckets(rows: DataFrame, key: str, n: int) -> tuple[Column, list[int]]:
     """The number of the range of ids that a row is in, for about n ranges of equal counts, and their bounds."""
     bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
@@ -110,7 +141,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs; of all anchors, anchors_sha256, edited_anchors_sha256, anchors_near_edited, anchors_near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the next document's first as many.
     """
@@ -121,11 +152,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = (
         rows.withColumn("_next", F.lead("text").over(w))
         .withColumn("_edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half)))
-        .select("_bucket", "_ghost", "doc_id", "_tie", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("_edited")).alias("edited"))
+        .select("_bucket", "_ghost", "doc_id", "_tie", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), of_text(F.col("text")).alias("own"), of_text(F.col("_edited")).alias("edited"))
         .withColumn("next", F.lead("own").over(w))
         .filter("_ghost = 0")
     )
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.sketch")).alias("fingerprint"), fingerprint(F.col("edited.sketch")).alias("edited_fingerprint"),
+        likeness(F.col("own.sketch"), F.col("edited.sketch")).alias("near_edited"), likeness(F.col("own.sketch"), F.col("next.sketch")).alias("near_next"),
+        F.col("own.digest").alias("anchors_sha256"), F.col("edited.digest").alias("edited_anchors_sha256"),
+        positional_likeness(F.col("own"), F.col("edited")).alias("anchors_near_edited"), positional_likeness(F.col("own"), F.col("next")).alias("anchors_near_next"),
     )

@@ -117,6 +117,32 @@ def test_anchors_keep_their_distances(spark):
     assert len(common) > 20 and {a[h] - b[h] for h in common} == {3}
 
 
+def plain_links(text, k=5, s=2):
+    h = [xx(w.encode()) for w in re.split(r"[ \t-\r]+", text) if w]
+    inner = [of_longs(h[i : i + s]) for i in range(len(h) - s + 1)]
+    places = [i for i in range(len(h) - k + 1) if min(own := inner[i : i + k - s + 1]) in (own[0], own[-1])]
+    return [(of_longs(h[i : i + k]), of_longs(h[j : j + k]), j - i) for i, j in zip(places, places[1:], strict=False)]
+
+
+def test_fingerprints_of_long_texts_have_all_anchors(spark):
+    """A shared passage and one edit in long texts, both of which the smallest anchors miss."""
+    rng = random.Random(4)
+    words = lambda n: [f"z{rng.randrange(10**7)}" for _ in range(n)]
+    passage = words(60)
+    a = words(6000) + passage + words(6000)
+    b = words(9000) + passage + words(2000)
+    small = set(plain_sketch(" ".join(a)))
+    at = next(i for i in range(100, len(a)) if not small & set(plain_sketch(" ".join(a[i - 9 : i + 10]))))
+    edited = [*a[:at], "edited", *a[at + 1 :]]
+    texts = {3: a, 2: b, 1: edited, 0: a}  # in the order in which they follow each other
+    got = by_id(fingerprints.fingerprints(frame(spark, [(i, " ".join(t)) for i, t in texts.items()])))
+    plain = {i: set(plain_links(" ".join(t))) for i, t in texts.items()}
+    for i, after in ((3, 2), (2, 1), (1, 0), (0, 3)):
+        assert got[i]["anchors_near_next"] == pytest.approx(len(plain[i] & plain[after]) / len(plain[i] | plain[after])), i
+    assert got[3]["anchors_near_next"] > 0 and got[1]["near_next"] == 1 > got[1]["anchors_near_next"] > 0.99
+    assert got[3]["anchors_sha256"] == got[0]["anchors_sha256"] != got[1]["anchors_sha256"] and got[0]["anchors_near_next"] == 1
+
+
 # 3. PII
 
 
