@@ -2,17 +2,21 @@
 
 A document's set is its distinct n-word shingles (hashed to 64 bits). Documents with equal sets
 are one node of the join. Two nodes can only have a Jaccard similarity of t or more if they share a
-shingle among the first n - ceil(t n) + 1 of each, in any common order; the rare-first order puts the
-frequent shingles last, those that a task of the first pass meets three times or more, by ascending
-count, and orders the others by hash. The table of frequent shingles is broadcast; it holds at most
-FREQUENT of them, the most frequent; leaving one out costs candidates, never a link.
-
-Candidates come from the posting lists of the prefix shingles in two steps that lose no link between
-different components: first each node with one node of its list, another one in each list, then, once the verified
-links' components are known, the pairs of a list that lie in different ones. So a large group of near
-copies costs a few candidates a node instead of all its pairs. The length and positional filters
-work in the join, and so does a suffix filter (parities of the counts in 512 ranges of hashes bound how much two
-sets differ); each pair that is left is compared once, by counts in 16 ranges and then exactly.
+shingle among the first n - ceil(t n) + 1 of each, in any common order. The order is rare-first: by how many documents
+have a shingle of its bucket, one of BUCKETS by hash, then by hash. Each task counts its documents' shingles by bucket, and
+the tasks' counts are summed, so the order depends on the whole table and not on how its rows are dealt; a
+bucket that a frequent shingle shares costs candidates, never a link.
+
+Candidates come from the posting lists of the prefix shingles in rounds that lose no link between
+different components. In a round each node of a list meets one head, the node to which the list's shingle comes first: the one
+with the fewest rare shingles, which is the most like all others. After each round the links found are contracted to components;
+lists with more than one component get another head from outside the first one's component. When a round joins no more components, the pairs that
+are left in different ones are tried. So a large group of near copies costs a few candidates a node instead of all its pairs. The length and positional filters
+work in the join, and so does a suffix filter on signatures: parities of the counts in 512 ranges of hashes bound how much two
+sets differ (of whole sets: what differs before the shared shingle counts as well, so it leaves out no less than one on suffixes alone). Each pair that is left is compared once, by counts in 16 ranges and then exactly;
+a pair that was compared is not tried again.
+
+A node is named by 63 bits of its set; a second digest of 64 bits finds different sets with one name, which get names of their own.
 
 Defined cases: a null text, an empty one and one without words have the empty set, which links with
 nothing; with fewer words than n the whole sequence is the only shingle; repeated rows share a
@@ -33,9 +37,11 @@ from pyspark.sql import functions as F
 from . import shared
 from .components import components
 
-#: Entries of the broadcast table of frequent shingles at most (12 MB).
-FREQUENT = 1_000_000
-#: A task holds its counts of shingles for so many shingles, then reports and starts afresh.
+#: Buckets of hashes by which shingles are counted; the counts are 8 MB in every task, whatever the input.
+BUCKETS = 1 << 21
+#: Buckets of one row of counts.
+ROW = 4096
+#: A task holds so many shingles, then adds them to its counts.
 COUNTED = 3_000_000
 RANGES = 16
 #: Ranges of hashes of the signature that the suffix filter compares before sets are fetched.
@@ -44,8 +50,9 @@ SIGNATURE = 512
 WIDE, WIDE_FROM = 4096, 512
 #: Nodes of a short posting list at most.
 SHORT = 8
-#: The posting list of a frequent shingle is dealt to so many tasks.
-SALTS = 32
+#: The posting list of a shingle whose bucket has over LONG documents more than is usual is dealt to so many tasks.
+LONG, SALTS = 1000, 32
+NAME_BITS = 63
 
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
@@ -60,15 +67,36 @@ def parities(s: np.ndarray, ranges: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def node_of(s: np.ndarray) -> int:
-    """The 63-bit name of a set; -1 for the empty one."""
+def name_of(s: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """The name of a set (-1 for the empty one) and a second digest."""
     if not len(s):
-        return -1
-    i = np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = s ^ i
+        return -1, 0
+    x = s ^ np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(31)
-    return int(x.sum(dtype=np.uint64) ^ np.uint64(len(s))) & (1 << 63) - 1
+    y = x * np.uint64(0xA0761D6478BD642F)
+    y ^= y >> np.uint64(29)
+    name = int(x.sum(dtype=np.uint64) ^ np.uint64(len(s)))
+    return name & (1 << bits) - 1, int(y.sum(dtype=np.uint64).view(np.int64))
+
+
+class Namer:
+    """Names sets, with the new names of those whose name another set has as well."""
+
+    def __init__(self, bits: int, renamed: dict[tuple[int, int], int]):
+        self.bits, self.renamed = bits, renamed
+
+    def __call__(self, s: np.ndarray) -> int:
+        own = name_of(s, self.bits)
+        return self.renamed.get(own, own[0]) if self.renamed else own[0]
+
+
+def new_name(name: int, check: int) -> int:
+    return int(shared.mixed(np.array([name], np.int64).view(np.uint64), np.array([check], np.int64).view(np.uint64))[0]) & (1 << NAME_BITS) - 1
+
+
+def bucket_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
@@ -80,72 +108,103 @@ def prefix(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-def _nodes(n: int):
+FIRST = "doc_id bigint, text_key bigint, size bigint, node bigint, check bigint, parities array<bigint>, wide array<bigint>, block int, slots binary, counts binary"
+COUNTS = "block int, turn int, slots binary, counts binary"
+
+
+def _nodes(n: int, bits: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         pending: list[np.ndarray] = []
-
-        def frequent() -> pa.RecordBatch:
-            every = np.concatenate(pending)
-            pending.clear()
-            every.sort()  # in place: this is the most that a task holds
-            values = shared.distinct(every[:-2][every[:-2] == every[2:]])
-            counts = np.searchsorted(every, values, "right") - np.searchsorted(every, values, "left")
-            none = [None] * len(values)
-            return table(none, none, none, none, shared.signed(values), counts, none, none)
+        total = np.zeros(BUCKETS, np.uint32)
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int32(), pa.binary(), pa.binary()]
+        names = [x.split()[0] for x in FIRST.split(", ")]
 
         def table(*columns) -> pa.RecordBatch:
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text_key", "size", "node", "shingle", "n", "parities", "wide"])
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        def count() -> None:
+            if pending:
+                np.add(total, np.bincount(bucket_of(np.concatenate(pending)), minlength=BUCKETS).astype(np.uint32), out=total)
+                pending.clear()
 
         held = 0
         for batch in batches:
             ids, said = batch.column("doc_id"), batch.column("text")
-            sizes, nodes, signatures, wide = [], [], [], []
+            sizes, nodes, checks, signatures, wide = [], [], [], [], []
             for i in range(len(said)):
                 s = shingles(said[i].as_py(), n)
+                node, check = name_of(s, bits)
                 sizes.append(len(s))
-                nodes.append(node_of(s))
-                signatures.append(None)
-                wide.append(None)
-                if nodes[-1] not in seen:
-                    seen.add(nodes[-1])
-                    pending.append(s)
-                    held += len(s)
-                    signatures[-1] = parities(s, SIGNATURE)
-                    wide[-1] = parities(s, WIDE) if len(s) >= WIDE_FROM else None
+                nodes.append(node)
+                checks.append(check)
+                pending.append(s)
+                held += len(s)
+                first = check not in seen
+                if first:
+                    seen.add(check)
+                signatures.append(parities(s, SIGNATURE) if first else None)
+                wide.append(parities(s, WIDE) if first and len(s) >= WIDE_FROM else None)
                 if held > COUNTED:
-                    yield frequent()
+                    count()
                     held = 0
             none = [None] * len(sizes)
-            yield table(ids, batch.column("text_key"), sizes, nodes, none, none, signatures, wide)
-        if pending:
-            yield frequent()
+            yield table(ids, batch.column("text_key"), sizes, nodes, checks, signatures, wide, none, none, none)
+        count()
+        rows = [(at // ROW, *sparse(total[at : at + ROW])) for at in range(0, BUCKETS, ROW) if total[at : at + ROW].any()]
+        if rows:
+            none = [None] * len(rows)
+            yield table(*[none] * 7, *zip(*rows, strict=True))
 
     return of
 
 
-def _postings(n: int, num: int, den: int, frequent):
+def sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The numbers of the slots with counts, and these."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(ROW, np.uint64)
+    for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
+        total[np.frombuffer(slots.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), np.uint32)
+    slots, counts = sparse(np.minimum(total, 2**32 - 1))
+    return pa.table([table.column("block")[:1], table.column("turn")[:1], pa.array([slots], pa.binary()), pa.array([counts], pa.binary())], names=["block", "turn", "slots", "counts"])
+
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """The sums of the tasks' counts: first of up to a thousandth of the tasks, then of those sums. BUCKETS / ROW rows go to the driver."""
+    rows = rows.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(1024)))
+    part = rows.groupBy("block", "turn").applyInArrow(_sum_counts, COUNTS)
+    out = np.zeros(BUCKETS, np.uint32)
+    for r in part.groupBy("block").applyInArrow(_sum_counts, COUNTS).collect():
+        out[r["block"] * ROW + np.frombuffer(r["slots"], np.uint16).astype(np.int64)] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def rare_first(s: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k shingles of a set (sorted by hash) in the common order, and their buckets' counts."""
+    usual = counts[bucket_of(s)]
+    order = np.argsort(usual, kind="stable")[:k]
+    return s[order], usual[order]
+
+
+def _postings(n: int, num: int, den: int, counted, name: Namer):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = (np.frombuffer(x, k) for x, k in zip(frequent.value, (np.uint64, np.uint32), strict=True))
+        counts = np.frombuffer(counted.value, np.uint32)
+        long = LONG + 2 * int(counts.sum(dtype=np.int64)) // BUCKETS
         seen: set[int] = set()
         for batch in batches:
             said = batch.column("text")
             out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
             for i in range(len(said)):
                 s = shingles(said[i].as_py(), n)
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := name(s)) in seen:
                     continue
                 seen.add(node)
-                p = prefix(len(s), num, den)
-                usual = np.zeros(len(s), bool)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    usual = common[at] == s
-                first = s[~usual][:p]
-                rest = np.flatnonzero(usual)
-                rest = s[rest[np.argsort(counts[at[rest]], kind="stable")]][: p - len(first)] if len(first) < p else s[:0]  # the rarest of them
-                out.append((shared.signed(np.concatenate([first, rest])), np.arange(p) >= len(first), node, len(s)))
+                first, usual = rare_first(s, counts, prefix(len(s), num, den))
+                out.append((shared.signed(first), usual > long, node, len(s)))
             lengths = [len(x[0]) for x in out]
             join = lambda arrays, kind: np.concatenate(arrays) if out else np.empty(0, kind)
             flat, hot = join([x[0] for x in out], np.int64), join([x[1] for x in out], bool)
@@ -159,23 +218,17 @@ def _postings(n: int, num: int, den: int, frequent):
     return of
 
 
-def _sets(n: int, wanted):
-    """The sets of the nodes whose bit is set, one row per task and node."""
+def _sets(n: int, wanted, name: Namer):
+    """The sets of rows (hash, text); with a bitmap, of those rows alone whose bit it has."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
-        seen: set[int] = set()
         for batch in batches:
-            said, keys = batch.column("text"), batch.column("bit").to_numpy()
-            nodes, sets = [], []
-            for i in np.flatnonzero(bits[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).tolist():
-                s = shingles(said[i].as_py(), n)
-                node = node_of(s)
-                if node >= 0 and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "members"])
+            said = batch.column("text")
+            good = np.arange(len(said)) if wanted is None else np.flatnonzero(shared.members(wanted.value, batch.column("hash").to_numpy().view(np.uint64)))
+            sets = [shingles(said[i].as_py(), n) for i in good.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hash").take(pa.array(good, pa.int64())), pa.array(list(map(name, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["hash", "node", "members"]
+            )
 
     return of
 
@@ -202,61 +255,52 @@ def _verify(num: int, den: int):
     return of
 
 
-def _bitmap(values: DataFrame, bits: int) -> bytes:
-    """A bitmap of fixed size of the column `bit`."""
-    block = 32768
-    rows = values.groupBy(F.floor(F.col("bit") / block).alias("block")).agg(F.bitmap_construct_agg(F.col("bit") % block).alias("bits")).toPandas()
-    out = np.zeros((bits // block, block // 8), np.uint8)
-    for k, b in zip(rows["block"], rows["bits"], strict=True):
-        out[int(k)] = np.frombuffer(bytes(b), np.uint8)
-    return out.tobytes()
-
-
-#: Bits of the bitmap by which the sets' pass tells the documents it needs (8 MB).
-BITS = 1 << 26
-
-
-def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, name_bits: int = NAME_BITS, most: int = shared.MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_key and first_key for each row of docs.
 
-    text_key is a hash of the text; first_key is that of the component's first row, the one by (doc_id, text_key).
+    text_key is a hash of the text; first_key is that of the component's first row, the one by (doc_id, text_key). The sets to compare are
+    made again where their documents are if there are `most` of them at most, else their texts are dealt to them.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
 
-    first = shared.stored(bare.mapInArrow(_nodes(n), "doc_id bigint, text_key bigint, size bigint, node bigint, shingle bigint, n bigint, parities array<bigint>, wide array<bigint>"), "nodes")
-    rows = first.filter("size is not null").select("doc_id", "text_key", "size", "node")
-    common = (
-        first.filter("n is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    )
-    values = common["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(values)
-    counts = np.minimum(common["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32)
-    frequent = spark.sparkContext.broadcast((values[order].tobytes(), counts[order].tobytes()))
-
-    postings = bare.select("text").mapInArrow(_postings(n, num, den, frequent), "shingle bigint, node bigint, at bigint, salt bigint")
+    first = shared.stored(bare.mapInArrow(_nodes(n, name_bits), FIRST), "nodes")
+    named = first.filter("node is not null").drop("block", "slots", "counts")
+    # Different sets with one name: at 10^10 sets a few, and no more rows than that go to the driver.
+    clashes = named.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("node")
+    renamed = {(r["node"], r["check"]): new_name(r["node"], r["check"]) for r in named.join(clashes, "node", "left_semi").select("node", "check").distinct().collect()}
+    if renamed:
+        table = spark.createDataFrame([(*k, v) for k, v in renamed.items()], "node bigint, check bigint, new bigint")
+        named = named.join(F.broadcast(table), ["node", "check"], "left").withColumn("node", F.coalesce("new", "node")).drop("new")
+    name = Namer(name_bits, renamed)
+    rows = named.select("doc_id", "text_key", "size", "node")
+    counted = spark.sparkContext.broadcast(bucket_counts(first.filter("block is not null").select("block", "slots", "counts")).tobytes())
+
+    postings = bare.select("text").mapInArrow(_postings(n, num, den, counted, name), "shingle bigint, node bigint, at bigint, salt bigint")
     # Dealt once; a list is in one task, but for those of frequent shingles, which are far fewer rows and are put together by a join.
     dealt = postings.repartition("shingle", "salt")
     rare, hot = dealt.filter("salt = 0"), dealt.filter("salt > 0").select("shingle", "node", "at")
 
-    def with_heads(df: DataFrame, keys: list[str]) -> DataFrame:
-        """The rows of lists of two nodes or more, with one of the list's nodes: another one in each list of the same nodes."""
-        turn = F.xxhash64("node", "shingle")
-        heads = df.groupBy(*keys).agg(F.min_by("node", turn).alias("head"), F.min_by("at", turn).alias("head_at"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-        return df.join(heads.filter("lo <> hi"), keys).select("shingle", "node", "at", "head", "head_at")
+    size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
 
-    listed = shared.stored(with_heads(rare, ["shingle", "salt"]).unionByName(with_heads(hot, ["shingle"])), "lists")
+    def turn(k: int):
+        """The order in which nodes become heads of a list: the first by place, of equal ones another one in each list."""
+        return F.struct(place("at"), F.xxhash64("node", "shingle", F.lit(k)))
 
-    size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
+    def with_heads(df: DataFrame, keys: list[str], hint: bool) -> DataFrame:
+        """The rows of lists of two nodes or more, with the list's head."""
+        heads = df.groupBy(*keys).agg(F.min_by("node", turn(1)).alias("head"), F.min_by("at", turn(1)).alias("head_at"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+        return df.join(heads.hint("rebalance") if hint else heads, keys).select("shingle", "node", "at", "head", "head_at")
 
-    signatures = first.filter("parities is not null").groupBy("node").agg(F.first("parities").alias("parities"))
+    listed = shared.stored(with_heads(rare, ["shingle", "salt"], False).unionByName(with_heads(hot, ["shingle"], True)), "lists")
 
-    wides = first.filter("wide is not null").groupBy("node").agg(F.first("wide").alias("wide"), F.first("size").alias("size"))
+    signatures = named.filter("parities is not null").groupBy("node").agg(F.first("parities").alias("parities")).hint("rebalance")
+    wides = named.filter("wide is not null").groupBy("node").agg(F.first("wide").alias("wide"), F.first("size").alias("size")).hint("rebalance")
 
-    def signed(df: DataFrame, node: str, name: str) -> DataFrame:
-        """df with the node's signature as `name`."""
-        return df.join(signatures.select(F.col("node").alias("_node"), F.col("parities").alias(name)), F.col(node) == F.col("_node")).drop("_node")
+    def signed(df: DataFrame, node: str, as_name: str) -> DataFrame:
+        """df with the node's signature."""
+        return df.join(signatures.select(F.col("node").alias("_node"), F.col("parities").alias(as_name)), F.col(node) == F.col("_node")).drop("_node")
 
     def least(a: str, b: str):
         return F.ceil(num * (size(a) + size(b)) / (den + num))
@@ -271,15 +315,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("x_parities")[k].bitwiseXOR(F.col("y_parities")[k])) for k in range(SIGNATURE // 64)])
         return differ <= size(a) + size(b) - 2 * least(a, b)
 
-    def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    key = F.struct("doc_id", "text_key")
+    owners = rows.groupBy("node").agg(F.min(key).alias("first")).select("node", "first.*")
+    hashed = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_key").alias("hash")
+    compared: list[DataFrame] = []  # tables of pairs
+    held: list[DataFrame] = []  # tables of sets
 
-    slot = F.xxhash64("doc_id").bitwiseAND(BITS - 1)
-    owners = rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
-    keyed = bare.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(BITS - 1).alias("bit"))
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links. Only the sets of their nodes are made again, each from its first document, which a bitmap tells; one bit too many costs time alone."""
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs (a, b) that were not compared before; None if there are none. Only the sets of their nodes are made again, each from its first document."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if compared:
+            pairs = pairs.join(all_of(compared), ["a", "b"], "left_anti")
         for own, other in (("a", "x"), ("b", "y")):
             side = wides.select(F.col("node").alias(own), F.col("wide").alias(f"{other}_wide"), F.col("size").alias(f"{other}_size"))
             pairs = pairs.join(side, own, "left")
@@ -287,29 +336,61 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         both = F.col("x_size") + F.col("y_size")
         pairs = pairs.filter(F.coalesce(differ <= both - 2 * F.ceil(num * both / (den + num)), F.lit(True)))
         pairs = shared.stored(pairs.select("a", "b"), "pairs")
-        members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = spark.sparkContext.broadcast(_bitmap(owners.join(members, "node", "left_semi").select(slot.alias("bit")), BITS))
-        sets = shared.stored(keyed.mapInArrow(_sets(n, wanted), "node bigint, members binary"), "sets")
+        if pairs.isEmpty():
+            return None
+        compared.append(pairs)
+        lacking = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if held:
+            lacking = lacking.join(all_of(held).select("node"), "node", "left_anti")
+        lacking = shared.stored(owners.join(lacking, "node", "left_semi").select(hashed), "lacking")
+        wanted = shared.bitmap(lacking, most)
+        said = bare.select(hashed, "text")
+        said = said if wanted else said.join(lacking, "hash", "left_semi")
+        made = said.mapInArrow(_sets(n, wanted, name), "hash bigint, node bigint, members binary")
+        held.append(shared.stored((made.join(lacking, "hash", "left_semi") if wanted else made).select("node", "members"), "sets"))
+        sets = all_of(held)
         x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint")
+        links = shared.stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a bigint, b bigint"), "links")
+        return None if links.isEmpty() else links
 
     def near_pairs(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, a_at, b_at), each once, those that pass the suffix filter."""
         once = pairs.groupBy("a", "b").agg(F.first("a_at").alias("a_at"), F.first("b_at").alias("b_at"))
         return signed(signed(once, "a", "x_parities"), "b", "y_parities").filter(near("a_at", "b_at"))
 
-    one = listed.filter("node <> head").select(F.col("head").alias("a"), F.col("head_at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at"))
-    one = near_pairs(one.filter(possible("a_at", "b_at")))
-    links = shared.stored(verified(ordered(one)), "links")
-    roots = components(links)
-
-    def labelled(nodes: DataFrame) -> DataFrame:
-        return nodes.join(roots.select(F.col("node"), F.col("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    placed = labelled(listed.select("shingle", "node", "at"))
-    open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("shingle", "n")
-    still = shared.stored(placed.join(open_lists, "shingle"), "open")
+    def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+        return nodes.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The roots once the links, which are between different components, are added."""
+        ends = lambda a, b: links.join(roots.select(F.col("node").alias(a), F.col("root").alias(b)), a, "left").withColumn(b, F.coalesce(b, a)).select("a", "b", b)
+        edges = ends("a", "ra").join(ends("b", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        over = components(edges).select(F.col("node").alias("root"), F.col("root").alias("over")).hint("rebalance")
+        every = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")).unionByName(roots.select("node", "root"))
+        return shared.stored(every.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "roots")
+
+    def open_rows(lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of lists with nodes of several components: root, n (rows of the list), top (the root of its first head)."""
+        placed = labelled(lists.select("shingle", "node", "at"), roots)
+        several = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by("root", turn(1)).alias("top")).filter("lo <> hi")
+        return shared.stored(placed.join(several.select("shingle", "n", "top").hint("rebalance"), "shingle"), "open")
+
+    def pairs_with_head(rows: DataFrame) -> DataFrame:
+        return rows.filter("node <> head").select(F.col("head").alias("a"), F.col("head_at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")).filter(possible("a_at", "b_at"))
+
+    links = verified(near_pairs(pairs_with_head(listed)))
+    roots = components(links) if links else spark.createDataFrame([], "node bigint, root bigint")
+    still, k = open_rows(listed, roots), 1
+    while links and not still.isEmpty():
+        k += 1
+        heads = still.filter("root <> top").groupBy("shingle").agg(F.min_by("node", turn(k)).alias("head"), F.min_by("at", turn(k)).alias("head_at"), F.min_by("root", turn(k)).alias("head_root"))
+        links = verified(near_pairs(pairs_with_head(still.join(heads.hint("rebalance"), "shingle").filter("root <> head_root"))))
+        if links:
+            roots = merged(roots, links)
+            now = open_rows(still, roots)
+            shared.forget(still)
+            still = now
 
     def across(df: DataFrame, more: list[str], passes) -> DataFrame:
         """The pairs of a list's nodes in different components that pass the filters."""
@@ -321,18 +402,20 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # carry the signatures, so that pairs are filtered before they are made.
     short = near_pairs(across(still.filter(F.col("n") <= SHORT), [], possible("a_at", "b_at")))
     long = across(signed(still.filter(F.col("n") > SHORT), "node", "parities"), ["parities"], possible("a_at", "b_at") & near("a_at", "b_at"))
-    two = short.select("a", "b").union(long.select("a", "b"))
-    more = shared.stored(verified(ordered(two).join(links, ["a", "b"], "left_anti")), "links")
-    roots = components(links.union(more))
-
-    named = labelled(rows)
-    order = "struct(doc_id is null as unknown, doc_id as id, text_key as key)"
-    smallest = named.groupBy("root").agg(F.expr(f"min({order})").alias("first")).withColumnRenamed("root", "_root").hint("rebalance")
-    alone = F.col("node") < 0
-    return named.join(smallest, F.col("root") == F.col("_root")).select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"),
-        "text_key", F.when(alone, F.col("text_key")).otherwise(F.col("first.key")).alias("first_key"),
-    )
+    links = None if still.isEmpty() else verified(short.select("a", "b").union(long.select("a", "b")))
+    if links:
+        roots = merged(roots, links)
+
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    filled = rows.filter("node >= 0")
+    rooted = labelled(filled.groupBy("node").agg(F.min(order).alias("first")), roots)
+    smallest = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("smallest")).hint("rebalance")
+    of_nodes = rooted.join(smallest, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "smallest").hint("rebalance")
+    together = filled.join(of_nodes, F.col("node") == F.col("_node")).select(
+        "doc_id", F.col("size").alias("n_shingles"), F.col("smallest.id").alias("component_id"), "text_key", F.col("smallest.key").alias("first_key")
+    )
+    alone = rows.filter("node < 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.col("text_key").alias("first_key"))
+    return together.unionByName(alone)
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

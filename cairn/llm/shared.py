@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; unset only in tests)."""
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names.
+
+    A local session may lack the setting and gets a folder of its own; on a cluster that folder would be on one machine alone, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +43,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Values that bitmap() takes at most; its bitmap has 64 MB then.
+MEMBERS = 1 << 24
+_BLOCK = 32768  # bits of one block of bitmap_construct_agg
+
+
+def bitmap(hashes: DataFrame, most: int = MEMBERS):
+    """A broadcast bitmap of the values of the column `hash`, with at least 16 bits for each; None if there are more than `most`.
+
+    members() asks it. A value that was not there seems to be there in one case of 16 at most. A caller needs another way for None.
+    """
+    spark = hashes.sparkSession
+    n = hashes.count()
+    if n > most:
+        return None
+    bits = max(_BLOCK, 1 << (16 * n).bit_length())
+    slot = F.col("hash").bitwiseAND(bits - 1)
+    rows = hashes.groupBy(F.floor(slot / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(slot % _BLOCK).alias("bits")).toPandas()
+    out = np.zeros((bits // _BLOCK, _BLOCK // 8), np.uint8)
+    for k, b in zip(rows["block"], rows["bits"], strict=True):
+        out[int(k)] = np.frombuffer(bytes(b), np.uint8)
+    return spark.sparkContext.broadcast(out.tobytes())
+
+
+def members(raw: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) have their bit in a bitmap."""
+    bits = np.frombuffer(raw, np.uint8)
+    slot = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def parts(spark: SparkSession) -> int:
@@ -64,35 +110,34 @@ def ranked(df: DataFrame, group: str, bucket, order: list, name: str) -> DataFra
     )
 
 
-#: Bytes of white space, and the base of the word hashes with its inverse modulo 2**64.
+#: Bytes of white space; and masks that keep the first k bytes of eight.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BASE = 0x2545F4914F6CDD1D
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    """Powers of BASE and of INVERSE, n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << max(17, n.bit_length())
-        for k, base in enumerate((BASE, INVERSE)):
-            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-    return _powers
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed by xxh3.
+LONG_WORD = 64
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """64-bit hashes of the words of a text in UTF-8, in order: words are what ASCII white space separates.
 
-    Prefix sums of byte times power give every word's polynomial at once; it is moved to power 0, and mixed with the length.
+    A word is mixed eight bytes at a time, all words of a text together; words of equal length up to eight bytes never meet.
     """
     b = np.frombuffer(raw, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[b], [True]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _grown(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(h, (ends - starts).astype(np.uint64))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    h = sizes.astype(np.uint64)
+    if not len(h):
+        return h
+    eight = np.lib.stride_tricks.as_strided(np.frombuffer(raw + bytes(LONG_WORD), np.uint8), (len(b) + LONG_WORD - 7, 8), (1, 1))
+    own = slice(None)
+    for at in range(0, min(int(sizes.max()), LONG_WORD), 8):
+        if at:
+            own = np.flatnonzero(sizes > at)
+        lane = eight[starts[own] + at].view("<u8")[:, 0] & _FIRST[np.minimum(sizes[own] - at, 8)]
+        h[own] = mixed(h[own], lane)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return h
 
 
 def distinct(a: np.ndarray) -> np.ndarray:
@@ -125,6 +170,11 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         power *= 2
 
 
+def wide_grams(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of all windows of k words, as two arrays."""
+    return grams(h, k), grams(mixed(h, np.uint64(0x9E3779B97F4A7C15)), k)
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list array of numpy arrays."""
     ends = np.cumsum([0, *map(len, values)])

@@ -383,6 +383,59 @@ def test_jaccard_join_of_long_texts(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want and 1 < sum(want[i] == 0 for i in range(40)) < 40
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that any polynomial modulo 2**64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(7)
+    words = {"".join(rng.choices("ab", k=rng.randrange(1, 90))) for _ in range(5000)} | {*thue_morse(10)} | {w + c for w in thue_morse(5) for c in "xy"}
+    words = sorted(words)
+    assert len({*shared.word_hashes(" ".join(words).encode()).tolist()}) == len(words)
+    assert len({*zip(*(x.tolist() for x in shared.wide_grams(shared.word_hashes(" ".join(words).encode()), 20)), strict=True)}) == len(words) - 19
+
+
+LONG_WORDS = [(1, " ".join([thue_morse(10)[0]] * 2 + [f"c{k}" for k in range(2)])), (2, " ".join([thue_morse(10)[1]] * 2 + [f"c{k}" for k in range(2)]))]
+
+
+def test_jaccard_join_of_long_words(spark):
+    got = by_id(jaccard_join.similarity_classes(frame(spark, LONG_WORDS), 4, 85, 100))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 2}
+
+
+def test_jaccard_join_just_below_the_threshold(spark):
+    """Near copies of one text that is not among them: each pair shares long prefixes and none is a link; and a few links on top."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(103)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        at = rng.randrange(2, 95)
+        words[at : at + 5] = [f"x{rng.randrange(10**7)}" for _ in range(5)]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i * 7][1] + f" tail{i}") for i in range(40)]
+    got = by_id(jaccard_join.similarity_classes(frame(spark, rows).repartition(4), 4, 85, 100))
+    want = plain_components(plain_sets(rows, 4), 85)
+    assert {i: r["component_id"] for i, r in got.items()} == want and len({*want.values()}) > 60
+
+
+@pytest.mark.parametrize("more", [{"name_bits": 3}, {"most": 0}])
+def test_jaccard_join_other_ways(docs, rows, more):
+    """Different sets with one name, and sets that are too many for a bitmap."""
+    got = by_id(jaccard_join.similarity_classes(docs, 4, 85, 100, **more))
+    assert {i: r["component_id"] for i, r in got.items()} == plain_components(plain_sets(rows, 4), 85)
+
+
+def test_rare_first_does_not_depend_on_the_deal(spark, docs):
+    bare = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(1).cast("long").alias("text_key"))
+    counts = [jaccard_join.bucket_counts(d.mapInArrow(jaccard_join._nodes(4, 63), jaccard_join.FIRST).filter("block is not null").select("block", "slots", "counts")) for d in (bare, bare.repartition(3))]
+    assert counts[0].sum() > 10_000 and (counts[0] == counts[1]).all()
+
+
 # 7. Packing
 
 
