@@ -279,8 +279,9 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     postings = bare.select("text").mapInArrow(_postings(n, num, den, counted, name), "shingle bigint, node bigint, at bigint, salt bigint")
     # Dealt once; a list is in one task, but for those of frequent shingles, which are far fewer rows and are put together by a join.
-    dealt = postings.repartition("shingle", "salt")
-    rare, hot = dealt.filter("salt = 0"), dealt.filter("salt > 0").select("shingle", "node", "at")
+    # The task's number keeps the filters above the exchange, so that both read the same one and the postings are made once.
+    dealt = postings.repartition("shingle", "salt").withColumn("task", F.spark_partition_id())
+    rare, hot = dealt.filter("salt = 0 and task >= 0"), dealt.filter("salt > 0 and task >= 0").select("shingle", "node", "at")
 
     size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND((1 << 32) - 1))
 
@@ -295,8 +296,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     listed = shared.stored(with_heads(rare, ["shingle", "salt"], False).unionByName(with_heads(hot, ["shingle"], True)), "lists")
 
-    signatures = named.filter("parities is not null").groupBy("node").agg(F.first("parities").alias("parities")).hint("rebalance")
-    wides = named.filter("wide is not null").groupBy("node").agg(F.first("wide").alias("wide"), F.first("size").alias("size")).hint("rebalance")
+    signatures = shared.stored(named.filter("parities is not null").groupBy("node").agg(F.first("parities").alias("parities"), F.first("wide").alias("wide"), F.first("size").alias("size")), "signatures")
+    wides = signatures.filter("wide is not null")
 
     def signed(df: DataFrame, node: str, as_name: str) -> DataFrame:
         """df with the node's signature."""

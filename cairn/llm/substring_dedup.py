@@ -3,8 +3,8 @@
 The reference of a document is all text before it: documents with smaller ids, and its own earlier
 words. Reference blocks are indexed in two steps. First every document gives its minimisers - of
 the 15 six-word hashes in each 20-word window the smallest - of which only those of two or more
-places can lie in a copied window; they set bits of a bitmap of fixed size. Then each window whose
-minimiser's bit is set goes to the dictionary, a table of window hash and first place. A document is
+places can lie in a copied window; they go to every task as a bitmap sized by their number, or, if they are too many for one,
+each document gets its own ones by a join. Then each window with such a minimiser goes to the dictionary, a table of window hash (128 bits) and first place. A document is
 parsed greedily against it: a factor runs on while every next window, also across the point where
 it leaves one reference place for another, starts earlier somewhere; a factor of 20 words or more is a
 duplicate span.
@@ -33,9 +33,6 @@ from . import shared
 
 #: Words of a minimiser.
 GRAM = 6
-#: Bits of the bitmap of shared minimisers (16 MB), whatever the input.
-BITS = 1 << 27
-BLOCK = 32768  # bits of one block of bitmap_construct_agg
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
@@ -53,8 +50,16 @@ def _sliding_min(a: np.ndarray, k: int) -> np.ndarray:
     return out if size == k else np.minimum(out[: len(a) - k + 1], out[k - size :][: len(a) - k + 1])
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(17)) & np.uint64(BITS - 1)
+def first_places(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The index of the first of each distinct pair (hi, lo)."""
+    order = np.argsort(hi, kind="stable")
+    a, b = hi[order], lo[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # two hashes with one half in common
+        order = np.lexsort((lo, hi))
+        a, b = hi[order], lo[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order[np.concatenate([[True], ~same])] if len(order) else order
 
 
 def _anchors(window: int):
@@ -62,7 +67,8 @@ def _anchors(window: int):
         for batch in batches:
             said = batch.column("text")
             found = [shared.distinct(minimisers(shared.word_hashes(said[i].as_py()), window)) for i in range(len(said))]
-            yield pa.RecordBatch.from_arrays([shared.lists([shared.signed(x) for x in found], pa.int64())], names=["anchors"])
+            lists = shared.lists([shared.signed(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists], names=["doc_id", "key", "anchors"])
 
     return of
 
@@ -71,10 +77,9 @@ def _places(window: int, bitmap):
     """The dictionary's entries: each candidate window of a document, at its first place there."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
         seen: dict[bytes, tuple] = {}  # an equal text with a larger key can't be first anywhere
         for batch in batches:
-            ids, keys, said = (batch.column(c) for c in ("doc_id", "key", "text"))
+            ids, keys, said, shared_ones = (batch.column(c) for c in ("doc_id", "key", "text", "shared"))
             out = []
             for i in range(len(said)):
                 h = shared.word_hashes(said[i].as_py())
@@ -88,36 +93,38 @@ def _places(window: int, bitmap):
                 if len(seen) >= shared.WORDS_HELD:
                     seen.clear()
                 seen[digest] = mine
-                at = candidates(h, window, bits)
-                w, first = np.unique(shared.grams(h, window)[at], return_index=True)
-                out.append((i, shared.signed(w), at[first]))
+                at = candidates(h, window, bitmap, shared_ones[i])
+                hi, lo = (x[at] for x in shared.wide_grams(h, window))
+                first = first_places(hi, lo)
+                out.append((i, shared.signed(hi[first]), shared.signed(lo[first]), at[first]))
             rows = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64)
-            flat = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (1, 2)]
+            flat = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[0], pa.int64()), ids.take(pa.array(rows)), keys.take(pa.array(rows)), pa.array(flat[1], pa.int32())],
-                names=["w", "doc_id", "key", "start"],
+                [pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), ids.take(pa.array(rows)), keys.take(pa.array(rows)), pa.array(flat[2], pa.int32())],
+                names=["w", "v", "doc_id", "key", "start"],
             )
 
     return of
 
 
-def candidates(h: np.ndarray, window: int, bits: np.ndarray) -> np.ndarray:
-    """The starts of the windows whose minimiser's bit is set."""
-    b = _bit(minimisers(h, window))
-    return np.flatnonzero(bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
+def candidates(h: np.ndarray, window: int, bitmap, own: pa.ListScalar) -> np.ndarray:
+    """The starts of the windows whose minimiser other documents have: by the bitmap, else by the document's own list."""
+    m = minimisers(h, window)
+    if bitmap is not None:
+        return np.flatnonzero(shared.members(bitmap.value, m))
+    return np.flatnonzero(np.isin(m, own.values.to_numpy().view(np.uint64))) if own.values is not None else np.empty(0, np.int64)
 
 
-def parse(h: np.ndarray, window: int, bits: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
-    """Factors (start, end) in words. firsts: starts of the windows that the dictionary has at this document."""
+def parse(h: np.ndarray, window: int, at: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int]]:
+    """Factors (start, end) in words. at: starts of the candidate windows; firsts: of those windows that the dictionary has at this document."""
     n = len(h)
     if n < window:
         return []
     earlier = np.zeros(n - window + 1, bool)
-    earlier[candidates(h, window, bits)] = True
+    earlier[at] = True
     earlier[firsts] = False
-    w = shared.grams(h, window)
-    own = np.ones(len(w), bool)  # windows that an earlier place of the same document has
-    own[np.unique(w, return_index=True)[1]] = False
+    own = np.ones(n - window + 1, bool)  # windows that an earlier place of the same document has
+    own[first_places(*shared.wide_grams(h, window))] = False
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (earlier | own).astype(np.int8), [0]])))
     factors = []
     for start, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -131,14 +138,14 @@ def parse(h: np.ndarray, window: int, bits: np.ndarray, firsts: np.ndarray) -> l
 
 def _cut(window: int, bitmap, names: list[str], schema: pa.Schema):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            said, firsts = batch.column("__cairn_text"), batch.column("__cairn_firsts")
+            said, firsts, shared_ones = batch.column("__cairn_text"), batch.column("__cairn_firsts"), batch.column("__cairn_shared")
             counts, removed, spans, left = [], [], [], []
             for i in range(len(said)):
                 raw = said[i].as_py()
                 h, at = shared.word_hashes(raw), firsts[i].values
-                factors = parse(h, window, bits, at.to_numpy() if at is not None else np.empty(0, np.int64))
+                able = candidates(h, window, bitmap, shared_ones[i]) if len(h) >= window else []
+                factors = parse(h, window, able, at.to_numpy() if at is not None else np.empty(0, np.int64))
                 counts.append(len(h))
                 removed.append(sum(b - a for a, b in factors))
                 spans.append([{"start": a, "end": b} for a, b in factors])
@@ -158,38 +165,41 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t-\r]+", " "), "^ | $", "")
 
 
-def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """docs, with _n_words, _n_removed, _spans (of words) and _left: the text, untouched where nothing is removed, else the kept words joined by one space."""
-    spark = docs.sparkSession
+def without_repeats(docs: DataFrame, window: int = 20, most: int = shared.MEMBERS) -> DataFrame:
+    """docs, with _n_words, _n_removed, _spans (of words) and _left: the text, untouched where nothing is removed, else the kept words joined by one space.
+
+    Up to `most` shared minimisers are broadcast.
+    """
     # Only where ids repeat has a document to be told from others by its text.
     repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     key = F.xxhash64(F.coalesce("text", F.lit(""))) if repeated else F.lit(0).cast("long")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), raw.alias("text"))
 
-    shared_anchors = (
-        bare.select("text").mapInArrow(_anchors(window), "anchors array<bigint>").select(F.explode("anchors").alias("a"))
-        .groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
-    slot = F.shiftrightunsigned("a", 17).bitwiseAND(BITS - 1)
-    blocks = (
-        shared_anchors.groupBy(F.floor(slot / BLOCK).alias("block")).agg(F.bitmap_construct_agg(slot % BLOCK).alias("bits")).toPandas()
-    )  # at most BITS / BLOCK rows of 4 KB
-    bitmap = np.zeros((BITS // BLOCK, BLOCK // 8), np.uint8)
-    for block, bits in zip(blocks["block"], blocks["bits"], strict=True):
-        bitmap[int(block)] = np.frombuffer(bytes(bits), np.uint8)
-    bitmap = spark.sparkContext.broadcast(bitmap.tobytes())
+    anchors = bare.mapInArrow(_anchors(window), "doc_id bigint, key bigint, anchors array<bigint>").select("doc_id", "key", F.explode("anchors").alias("hash"))
+    several = shared.stored(anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "anchors")
+    bitmap = shared.bitmap(several, most)
+    if bitmap is None:
+        own = anchors.join(several, "hash").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list("hash").alias("shared"))
+        bare = bare.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_k")
+        own = own.select(F.col("_d").alias("__cairn_e"), F.col("_k").alias("__cairn_l"), F.col("shared").alias("__cairn_shared"))
+    else:
+        bare = bare.withColumn("shared", F.lit(None).cast("array<bigint>"))
 
     place = "struct(doc_id, key, start)"
     firsts = (
-        bare.mapInArrow(_places(window, bitmap), "w bigint, doc_id bigint, key bigint, start int")
-        .groupBy("w").agg(F.expr(f"min({place})").alias("first"))
+        bare.mapInArrow(_places(window, bitmap), "w bigint, v bigint, doc_id bigint, key bigint, start int")
+        .groupBy("w", "v").agg(F.expr(f"min({place})").alias("first"))
         .groupBy(F.col("first.doc_id").alias("__cairn_d"), F.col("first.key").alias("__cairn_k")).agg(F.collect_list("first.start").alias("__cairn_firsts"))
     )
     names = docs.columns
     rows = docs.withColumns({"__cairn_id": F.col("doc_id").cast("long"), "__cairn_key": key})
     rows = rows.join(firsts, F.col("__cairn_id").eqNullSafe(F.col("__cairn_d")) & (F.col("__cairn_key") == F.col("__cairn_k")), "left")
-    rows = rows.select(*names, raw.alias("__cairn_text"), "__cairn_firsts")
+    if bitmap is None:
+        rows = rows.join(own, F.col("__cairn_id").eqNullSafe(F.col("__cairn_e")) & (F.col("__cairn_key") == F.col("__cairn_l")), "left")
+    else:
+        rows = rows.withColumn("__cairn_shared", F.lit(None).cast("array<bigint>"))
+    rows = rows.select(*names, raw.alias("__cairn_text"), "__cairn_firsts", "__cairn_shared")
     out = docs.limit(0).withColumns(
         {"__cairn_n_words": F.lit(0).cast("long"), "__cairn_n_removed": F.lit(0).cast("long"), "__cairn_spans": F.expr("array(named_struct('start', 1, 'end', 1))"), "__cairn_left": F.lit(b"")}
     )

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
@@ -540,6 +541,25 @@ def test_quality(spark):
     assert len({r["kept"] for r in got.values()}) == 2
 
 
+def test_quality_of_long_words(spark):
+    a, b = thue_morse(10)
+    rows = [(1, " ".join([a, b] * 1 + [f"c{k}" for k in range(60)] + [b, a])), (2, " ".join([a, b, "x"] + [f"c{k}" for k in range(60)] + [a, b, "x"]))]
+    got = by_id(quality.quality(frame(spark, rows)))
+    assert (got[1]["n_repeat_words"], got[2]["n_repeat_words"]) == (0, 6)
+
+
+def test_repeats_of_a_very_long_text():
+    """Five times one passage of 100,000 words: memory stays linear."""
+    import tracemalloc
+
+    h = np.tile(np.random.default_rng(3).integers(0, 1 << 60, 100_000, np.int64).view(np.uint64), 5)
+    tracemalloc.start()
+    out = quality.longest_repeats(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0] == 400_000 and out[-1] == 1 and peak < 200 * len(h)
+
+
 # 10. Substring dedup
 
 
@@ -569,6 +589,25 @@ def test_substring_dedup(docs, rows):
     assert queries.op10_substring_dedup.__name__ in queries.oracle_sql()
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_substring_dedup_with_and_without_a_bitmap(docs, rows, most):
+    want = plain_dedup(rows)
+    out = by_id(substring_dedup.without_repeats(docs, most=most))
+    assert {i: (r["__cairn_n_words"], r["__cairn_n_removed"]) for i, r in out.items()} == {i: x[:2] for i, x in want.items()}
+
+
+def test_substring_dedup_of_long_words(spark):
+    a, b = thue_morse(10)
+    rows = [(1, " ".join([a] * 3 + [f"c{k}" for k in range(18)])), (2, " ".join([b] * 3 + [f"c{k}" for k in range(18)])), (3, " ".join([b] * 3 + [f"c{k}" for k in range(18)]))]
+    out = by_id(substring_dedup.without_repeats(frame(spark, rows)))
+    assert [out[i]["__cairn_n_removed"] for i in (1, 2, 3)] == [0, 0, 21]
+
+
+def test_first_places_with_half_a_hash_in_common():
+    hi, lo = np.array([5, 5, 3, 5, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    assert sorted(substring_dedup.first_places(hi, lo).tolist()) == [0, 1, 2]
+
+
 def test_substring_dedup_tells_equal_ids_apart(odd):
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, len(r["text"] or ""), r["__cairn_n_words"], r["__cairn_n_removed"]) for r in substring_dedup.without_repeats(odd).collect())
     lengths = {x[2]: [y[3:] for y in got if y[2] == x[2] and y[0]] for x in got}
