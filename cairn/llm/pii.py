@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "cairn demonstration key"
-#: Symbols permuted at a time.
+#: For the registered queries and tests; a user passes a key of their own, from a secret store.
+DEMO_KEY = "cairn demonstration key"
+#: Symbols of a block; longer values are chained, forwards and then backwards, so that each symbol depends on all.
 BLOCK = 16
-#: Times a value may be permuted until it is valid; a tenth of the numbers are invalid at most.
-WALKS = 40
+#: Times a value may be permuted until it is valid; a tenth of the numbers are invalid at most, and two thirds of the dates are of the other kind.
+WALKS, DATE_WALKS = 40, 80
 
 #: Kind and pattern, in the order in which they are tried.
 KINDS = {
@@ -75,21 +76,32 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: Column, t
 
 
 def permuted(symbols: Column, radix: int, key: Column, kind: str) -> Column:
-    """A string of digits of the radix (0-9a-z), permuted within its length, block by block."""
+    """A string of digits of the radix (0-9a-z), permuted within its length.
 
-    def block(x: Column) -> Column:
+    Each block's permutation is picked by the new block before it; if there are several, a second pass from the last block to the first follows.
+    """
+
+    def block(x: Column, before: Column) -> Column:
         n = F.length(x)
         left = F.floor(n / 2).cast("int")
         number = lambda s: F.coalesce(F.conv(s, radix, 10).cast("long"), F.lit(0))
         size = lambda k: F.pow(F.lit(float(radix)), k).cast("long")
-        tag = F.concat_ws("/", F.lit(f"{kind}/{radix}"), n.cast("string"))
+        tag = F.concat(F.concat_ws("/", F.lit(f"{kind}/{radix}"), n.cast("string")), before)
         out = feistel(number(F.substring(x, F.lit(1), left)), number(F.substring(x, left + 1, n)), size(left), size(n - left), key, tag)
         text = lambda v, k: F.lpad(F.lower(F.conv(v.cast("string"), 10, radix)), k, F.lit("0"))
         return let(out, lambda o: F.concat(text(o["a"], left), text(o["b"], n - left)))
 
-    starts = F.sequence(F.lit(0), F.floor((F.length(symbols) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda i: block(F.substring(symbols, i * BLOCK + 1, F.lit(BLOCK))))
-    return F.when(F.length(symbols) == 0, symbols).otherwise(F.array_join(blocks, ""))
+    n_blocks = F.floor((F.length(symbols) - 1) / BLOCK).cast("int") + 1
+    of_block = lambda x, k: F.substring(x, k * BLOCK + 1, F.lit(BLOCK))
+
+    def step(x: Column, t: Column) -> Column:
+        ahead = t < n_blocks
+        k = F.when(ahead, t).otherwise(2 * n_blocks - 1 - t)
+        before = F.when((t == 0) | (t == n_blocks), "").otherwise(F.concat(F.when(ahead, ">").otherwise("<"), of_block(x, F.when(ahead, k - 1).otherwise(k + 1))))
+        return F.concat(F.substring(x, F.lit(1), k * BLOCK), block(of_block(x, k), before), F.substring(x, (k + 1) * BLOCK + 1, F.length(x)))
+
+    steps = F.sequence(F.lit(0), F.when(n_blocks == 1, 0).otherwise(2 * n_blocks - 1))
+    return F.when(F.length(symbols) == 0, symbols).otherwise(F.aggregate(steps, symbols, step))
 
 
 def refilled(layout: Column, symbols: str, new: Column) -> Column:
@@ -198,9 +210,9 @@ def _spaced_ibans(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
-def _walked(first: Column, again, valid) -> Column:
+def _walked(first: Column, again, valid, walks: int = WALKS) -> Column:
     """again(first), and again until it is valid; a permutation comes back to a valid start at the latest."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), again(first), lambda x, i: F.when(valid(x), x).otherwise(again(x)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), again(first), lambda x, i: F.when(valid(x), x).otherwise(again(x)))
 
 
 def _ssn(m: Column, key: Column) -> Column:
@@ -228,18 +240,28 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _date(m: Column, key: Column) -> Column:
+    """Days up to the 12th stay such, and later ones too: a text with the month first, which a later day shows, then stays one, and no two texts of a layout get the same pseudonym."""
     sep = F.substring(m, 3, 1)
     iso = m.rlike("^[0-9]{4}-")
     part = lambda a, n: F.substring(m, a, n)
     day_first = part(4, 2).cast("int") <= 12
     ymd = F.when(iso, m).when(day_first, F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))).otherwise(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
-    place = F.datediff(F.try_to_date(ymd, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+    epoch = F.lit("1900-01-01").cast("date")
+    place = F.datediff(F.try_to_date(ymd, "yyyy-MM-dd"), epoch)
+    late = lambda n: F.dayofmonth(F.date_add(epoch, n)) > 12
 
-    def of(n: Column) -> Column:
+    def moved(n: Column) -> Column:
         new = feistel(F.shiftright(n, 8), n.bitwiseAND(255), F.lit(256), F.lit(256), key, F.lit("date"))
-        date = let(new, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * 256 + s["b"]).cast("int")))
-        short = F.date_format(date, "dd"), F.date_format(date, "MM"), F.date_format(date, "yyyy")
-        return F.when(iso, F.date_format(date, "yyyy-MM-dd")).when(day_first, F.concat_ws("", short[0], sep, short[1], sep, short[2])).otherwise(F.concat_ws("", short[1], sep, short[0], sep, short[2]))
+        return let(new, lambda s: (s["a"] * 256 + s["b"]).cast("int"))
+
+    def of(n: Column) -> Column:
+        date = let(late(n), lambda x: F.date_add(epoch, _walked(n, moved, lambda y: late(y) == x, DATE_WALKS)))
+
+        def said(d: Column) -> Column:
+            day, month, year = F.date_format(d, "dd"), F.date_format(d, "MM"), F.date_format(d, "yyyy")
+            return F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(day_first, F.concat(day, sep, month, sep, year)).otherwise(F.concat(month, sep, day, sep, year))
+
+        return let(date, said)
 
     return let(place, lambda n: F.when(n.between(0, 65535), of(n)).otherwise(m))
 
@@ -255,7 +277,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     return let(single, lambda x: F.when(x.isNull(), _cards(m, key)).otherwise(F.struct(x.alias("said"), (x != m).cast("int").alias("n"))))
 
 
-def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """struct(text, n_changed): the text with every valid value replaced, and how many were."""
     spaced = let(_spaced_ibans(text), lambda x: F.when(F.size(x) == 0, F.lit(ANY)).otherwise(F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(x, "|"), F.lit(f")(?![A-Za-z0-9])|{ANY}"))))
 
@@ -276,12 +298,12 @@ def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), found).otherwise(same)
 
 
-def without_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs with their texts pseudonymised; n_chars, where there is one, follows the new text."""
     out = docs.withColumn("text", pseudonymised(F.col("text"), key)["text"])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def pseudonyms(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text and n_changed for each row of docs."""
     return docs.select("doc_id", pseudonymised(F.col("text"), key).alias("_out")).select("doc_id", F.col("_out.text").alias("text"), F.col("_out.n_changed").alias("n_changed"))

@@ -12,18 +12,19 @@ docs = shared.documents
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache of its own, so that each run encodes all texts."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    out = token_counts.token_counts(docs(spark, sf_dir), path, shared.scratch(spark, "token-counts"))
+    """The table arrives in two batches, as a corpus grows: the cache starts empty, gets the English documents' counts, and has them when the whole table is counted. Each distinct text is encoded once."""
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), shared.scratch(spark, "token-counts")
+    token_counts.token_counts(docs(spark, sf_dir).filter("lang = 'en'"), path, cache)
+    out = token_counts.token_counts(docs(spark, sf_dir), path, cache)
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(docs(spark, sf_dir))
+    return fingerprints.fingerprints(docs(spark, sf_dir), size=None)
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(docs(spark, sf_dir))
+    return pii.pseudonyms(docs(spark, sf_dir), pii.DEMO_KEY)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

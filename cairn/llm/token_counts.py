@@ -1,9 +1,10 @@
 """Operator 1: token counts through a digest cache.
 
 The cache is a table (tokenizer, content, n_tokens) in Parquet, partitioned by the tokenizer's digest.
-Counting joins each text's digest to it, encodes every distinct missing text once, appends the new
-counts and joins them back. Only the distinct misses' texts are shuffled, one copy per task and
-content, so a text that a third of all documents share costs one encoding and no large group.
+Counting takes the distinct digests of the texts, without the texts, and anti joins them with the cache. The misses' texts are then
+summed to one for each digest, within tasks first, encoded once, and the counts appended and joined back. Up to FEW misses
+are broadcast, so that texts that the cache has are not shuffled; beyond that the texts' sum meets the misses by digest.
+A text that a third of all documents share costs one row a task and one encoding, and no large group.
 
 Defined cases: a null text counts as empty; repeated rows each get their count; an empty table gives
 no rows; other columns are ignored.
@@ -25,6 +26,8 @@ from . import shared
 
 #: Characters encoded at a time: bounds the memory that the library's encodings take.
 AT_ONCE = 400_000
+#: Digests of misses that are broadcast at most (about 20 MB).
+FEW = 200_000
 CACHE = "content binary, n_tokens bigint, tokenizer string"
 
 
@@ -63,15 +66,23 @@ def cached(spark, cache: str, version: str) -> DataFrame:
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).hint("rebalance")
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, few: int = FEW) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of docs; the cache at the path `cache` gains what it lacked."""
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     # This tokenizer kind has no normaliser that two texts could share a result through: the content is the text.
     keyed = shared.texts(docs).withColumn("content", F.unhex(F.sha2("text", 256)))
-    missing = keyed.join(cached(spark, cache, version), "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
-    new = missing.mapInArrow(_encoder(tokenizer_path), "content binary, n_tokens bigint")
-    new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    misses = shared.stored(keyed.select("content").distinct().join(cached(spark, cache, version), "content", "left_anti"), "misses")
+    n = misses.count()
+    if n:
+        one = F.first("text").alias("text")
+        if n <= few:
+            missing = keyed.select("content", "text").join(F.broadcast(misses), "content", "left_semi").groupBy("content").agg(one)
+        else:
+            missing = keyed.groupBy("content").agg(one).join(misses, "content", "left_semi")
+        new = missing.mapInArrow(_encoder(tokenizer_path), "content binary, n_tokens bigint")
+        new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    shared.forget(misses)
     return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(
         cached(spark, cache, version), "content"
     ).drop("content")

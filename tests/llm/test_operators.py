@@ -1,5 +1,6 @@
 """Each operator against a plain single-process version, and on odd inputs."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -58,6 +59,15 @@ def test_token_counts_use_what_the_cache_has(spark):
     assert got[1]["n_tokens"] == 77 and got[2]["n_tokens"] == 1
 
 
+def test_token_counts_of_many_misses(spark, docs, rows):
+    """Misses beyond what is broadcast, and a second run that finds all in the cache."""
+    cache = shared.scratch(spark, "cache")
+    want = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BYTES, shared.scratch(spark, "cache")).collect()}
+    for _ in range(2):
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BYTES, cache, few=0).collect()} == want
+        assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
+
+
 # 2. Fingerprints
 
 
@@ -154,16 +164,96 @@ def plain_feistel(a, b, size_a, size_b, key, tag):
     return a, b
 
 
-def plain_permuted(d, radix, kind, key=pii.DEFAULT_KEY):
+def plain_permuted(d, radix, kind, key=pii.DEMO_KEY):
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-    out = ""
-    for at in range(0, len(d), 16):
-        x = d[at : at + 16]
-        left = len(x) // 2
-        a, b = plain_feistel(int(x[:left] or "0", radix), int(x[left:], radix), radix**left, radix ** (len(x) - left), key, f"{kind}/{radix}/{len(x)}")
-        for v, n in ((a, left), (b, len(x) - left)):
-            out += "".join(digits[v // radix**k % radix] for k in reversed(range(n)))
-    return out
+
+    def chained(blocks, mark):
+        out = []
+        for x in blocks:
+            left = len(x) // 2
+            tag = f"{kind}/{radix}/{len(x)}" + (mark + out[-1] if out else "")
+            a, b = plain_feistel(int(x[:left] or "0", radix), int(x[left:], radix), radix**left, radix ** (len(x) - left), key, tag)
+            out.append("".join(digits[v // radix**k % radix] for v, n in ((a, left), (b, len(x) - left)) for k in reversed(range(n))))
+        return out
+
+    done = chained([d[at : at + 16] for at in range(0, len(d), 16)], ">")
+    return "".join(done if len(done) < 2 else chained(done[::-1], "<")[::-1])
+
+
+def put(layout, pattern, symbols):
+    """layout with the characters of a class replaced by symbols, in order."""
+    left = iter(symbols)
+    return re.sub(pattern, lambda m: next(left), layout)
+
+
+def plain_ssn(v):
+    d = re.sub("[^0-9]", "", v)
+    while True:
+        d = plain_permuted(d, 10, "ssn")
+        if re.fullmatch(r"(?!000|666|9)\d{3}(?!00)\d\d(?!0000)\d{4}", d):
+            return put(v, "[0-9]", d)
+
+
+def plain_iban(v):
+    account = put(v[4:], "[0-9]", plain_permuted(re.sub("[^0-9]", "", v[4:]), 10, "iban"))
+    number = int("".join(str(int(c, 36)) for c in account + v[:2] + "00"))
+    return f"{v[:2]}{98 - number % 97:02d}{account}"
+
+
+def plain_email(v):
+    local, at, host = v.partition("@")
+    letters = re.sub("[^a-z]", "", local.lower())
+    base, said = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+    moved = plain_permuted(letters.translate(str.maketrans(base, said)), 26, "email").translate(str.maketrans(said, base))
+    left = iter(moved)
+    local = "".join((next(left).upper() if c.isupper() else next(left)) if c.isascii() and c.isalpha() else c for c in local)
+    return put(local, "[0-9]", plain_permuted(re.sub("[^0-9]", "", v.partition("@")[0]), 10, "email")) + at + host
+
+
+def plain_date(v):
+    """Of a date as ISO, its pseudonym as ISO."""
+    epoch = datetime.date(1900, 1, 1)
+    own = datetime.date.fromisoformat(v)
+    n = (own - epoch).days
+    while True:
+        a, b = plain_feistel(n >> 8, n & 255, 256, 256, pii.DEMO_KEY, "date")
+        n = a * 256 + b
+        new = epoch + datetime.timedelta(n)
+        if (new.day > 12) == (own.day > 12):
+            return new.isoformat()
+
+
+def test_pseudonyms_of_each_kind(spark):
+    rng = random.Random(21)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    values = []
+    for _ in range(40):
+        values.append((v := f"{rng.randrange(1, 665):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d}", plain_ssn(v)))
+        account = rng.choice([digits(18), "WEST" + digits(14), digits(11) + "AB" + digits(10)])
+        country = rng.choice(["DE", "GB", "FR"])
+        v = f"{country}{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}{account}"
+        values.append((v, plain_iban(v)))
+        v = "".join(rng.choices("abcXYZ019._", k=rng.randrange(2, 30))).strip(".") + "q@mail.example.org"
+        values.append((v, plain_email(v)))
+        v = (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(65536))).isoformat()
+        values.append((v, plain_date(v)))
+        values.append((v := "".join(rng.choices("0123456789abcdef", k=rng.randrange(32, 65))), plain_permuted(v, 16, "secret")))
+    got = by_id(pii.pseudonyms(frame(spark, [(k, f"x {v} y") for k, (v, _) in enumerate(values)]), pii.DEMO_KEY))
+    for k, (v, new) in enumerate(values):
+        assert got[k]["text"] == f"x {new} y", v
+
+
+def test_dates_stay_apart_in_all_layouts(spark):
+    """All days of the range in three layouts: as many pseudonyms as texts in each, and one day one pseudonym."""
+    day = F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(65536).select("id", *(F.date_format(day, p).alias(n) for n, p in (("iso", "yyyy-MM-dd"), ("day", "dd/MM/yyyy"), ("month", "MM/dd/yyyy"))))
+    new = days.select("day", "month", *(pii._date(F.col(c), F.lit(pii.DEMO_KEY)).alias(f"new_{c}") for c in ("iso", "day", "month"))).collect()
+    assert len({r["new_iso"] for r in new}) == 65536
+    texts = {r["day"]: r["new_day"] for r in new} | {r["month"]: r["new_month"] for r in new}
+    assert len({*texts.values()}) == len(texts) > 65536
+    for r in new:
+        y, m, d = r["new_iso"].split("-")
+        assert r["new_day"] == f"{d}/{m}/{y}" and (r["new_month"] == f"{m}/{d}/{y}" if int(r["month"][3:5]) > 12 else True)
 
 
 def luhn(d):
@@ -180,7 +270,7 @@ SAID = {
 
 def test_pseudonyms(spark):
     df = frame(spark, [(k, f"before {v}, after {v}.") for k, v in enumerate(SAID.values())])
-    got = by_id(pii.pseudonyms(df))
+    got = by_id(pii.pseudonyms(df, pii.DEMO_KEY))
     for k, (kind, v) in enumerate(SAID.items()):
         text = got[k]["text"]
         if kind.startswith("bad") or kind in ("year", "price"):
@@ -194,7 +284,7 @@ def test_pseudonyms(spark):
             body = plain_permuted("411111111111111", 10, "card")
             assert luhn(d) and d[:-1] == body
         elif kind == "ip":
-            a, b = plain_feistel(192 * 256 + 168, 17 * 256 + 254, 65536, 65536, pii.DEFAULT_KEY, "ip")
+            a, b = plain_feistel(192 * 256 + 168, 17 * 256 + 254, 65536, 65536, pii.DEMO_KEY, "ip")
             assert new[1] == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
         elif kind == "phone":
             assert new[1].startswith("+1 (") and d[1:] == plain_permuted("2125550199", 10, "phone")
@@ -223,7 +313,7 @@ AMONG = [
 
 def test_pseudonyms_among_other_numbers(spark):
     alone = sorted({v for _, values in AMONG for v in values})
-    rows = pii.pseudonyms(frame(spark, [*enumerate(alone), *((100 + k, t) for k, (t, _) in enumerate(AMONG))])).collect()
+    rows = pii.pseudonyms(frame(spark, [*enumerate(alone), *((100 + k, t) for k, (t, _) in enumerate(AMONG))]), pii.DEMO_KEY).collect()
     got = {r["doc_id"]: r for r in rows}
     new = {v: got[k]["text"] for k, v in enumerate(alone)}
     for v in alone:
@@ -245,7 +335,7 @@ def test_pseudonyms_permute(spark):
 
 
 def test_pseudonyms_leave_other_text_and_columns(spark, docs, rows):
-    out = pii.without_pii(docs)
+    out = pii.without_pii(docs, pii.DEMO_KEY)
     assert out.columns == docs.columns
     got = by_id(out)
     assert all(got[i]["text"] == t for i, t in rows)
@@ -618,7 +708,7 @@ def test_substring_dedup_tells_equal_ids_apart(odd):
 # All of them on odd inputs
 
 ALL = {
-    "1": lambda d, s: token_counts.token_counts(d, BYTES, shared.scratch(s, "cache")), "2": lambda d, s: fingerprints.fingerprints(d), "3": lambda d, s: pii.pseudonyms(d), "4": lambda d, s: licenses.licenses(d),
+    "1": lambda d, s: token_counts.token_counts(d, BYTES, shared.scratch(s, "cache")), "2": lambda d, s: fingerprints.fingerprints(d), "3": lambda d, s: pii.pseudonyms(d, pii.DEMO_KEY), "4": lambda d, s: licenses.licenses(d),
     "5": lambda d, s: bpe_codec.encoded(d, WORDS), "6": lambda d, s: jaccard_join.similarity_classes(d), "6b": lambda d, s: jaccard_join.representatives(d), "7": lambda d, s: packing.packed(d, WORDS),
     "8": lambda d, s: sharding.sharded(d, [1.0] * 24), "9": lambda d, s: quality.quality(d), "9b": lambda d, s: quality.passing(d), "10": lambda d, s: substring_dedup.without_repeats(d),
 }
