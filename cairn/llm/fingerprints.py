@@ -3,21 +3,23 @@
 A k-mer is K consecutive words. Of the hashes of its K - S + 1 inner S-mers the smallest decides: if it is
 the first or the last, the k-mer is a closed syncmer and its hash an anchor. That depends on
 the k-mer's words alone, so an edit moves no anchor but those it touches, and equal passages give equal
-anchors at equal distances. The fingerprint is the SKETCH smallest distinct anchors as hexadecimal text, all of
-them for most documents; the likeness of two fingerprints is the share of common anchors among the SKETCH
-smallest of both together, 1 for equal ones.
+anchors at equal distances. The fingerprint is all anchors in order, each as eight hexadecimal digits (32 bits of its hash) and the distance
+to the next one, whatever the text's length. A link is two anchors that follow each other with the distance between them, so a common
+passage has common links wherever it stands; the likeness is the share of common links (of 64 bits) among all distinct ones of both,
+exact, and 1 for equal lists.
 
-The columns with `anchors` in their names are of all anchors in order with their places, whatever the text's length. A link
-is two anchors that follow each other with the distance between them, so a common passage has common links wherever it
-stands; the positional likeness is the share of common links among all distinct ones of both, exact, and 1 for equal lists.
+With a `size`, the fingerprint is a sketch instead: the size smallest distinct anchors, and the likeness the share of common anchors among the size
+smallest of both together, an estimate beyond that many anchors. The columns with `anchors` in their names are of all anchors in either case.
 
 Defined cases: a text of fewer than K words has one anchor, the hash of all its words; a text without words
 (null, empty, white space) has the empty fingerprint, like 1 to itself and 0 to others; repeated rows
-each get their row; a null id comes last; with one document the next one is itself; an empty table gives no rows; other columns are ignored.
+each get their row; null ids come last, rows of equal ids follow each other by descending CRC-32 of the text; with one document the next one is itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +81,28 @@ def digest(found: Column) -> Column:
     return F.sha2(F.array_join(F.transform(found, lambda a: F.concat_ws(":", a["place"].cast("string"), a["hash"].cast("string"))), " "), 256)
 
 
-def of_text(text: Column) -> Column:
-    """struct(sketch, links, digest)"""
-    return let(anchors(text), lambda a: F.struct(sketch(a).alias("sketch"), links(a).alias("links"), digest(a).alias("digest")))
+def of_text(text: Column, size: int | None) -> Column:
+    """struct(said, sketch, links, digest); the sketch is empty if size is None."""
+    none = F.array().cast("array<bigint>")
+
+    def of(a: Column) -> Column:
+        own = none if size is None else sketch(a, size)
+        return F.struct((in_order(a) if size is None else fingerprint(own)).alias("said"), own.alias("sketch"), links(a).alias("links"), digest(a).alias("digest"))
+
+    return let(anchors(text), of)
+
+
+def code(x: Column) -> Column:
+    return F.lpad(F.lower(F.hex(x)), 8, "0")
+
+
+def in_order(found: Column) -> Column:
+    """All anchors with the distances between them as text."""
+    return F.array_join(F.transform(found, lambda a, i: F.concat(code(a["hash"].bitwiseAND(0xFFFFFFFF)), F.coalesce(F.get(found, i + 1)["place"] - a["place"], F.lit(0)).cast("string"))), "")
 
 
 def fingerprint(own: Column) -> Column:
-    return F.array_join(F.transform(own, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(own, code), "")
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
@@ -100,17 +117,26 @@ def positional_likeness(a: Column, b: Column) -> Column:
     return F.when(a["digest"] == b["digest"], 1.0).otherwise(let(common, lambda n: n / F.greatest(both(n), F.lit(1))))
 
 
-def _buckets(rows: DataFrame, key: str, n: int) -> tuple[Column, list[int]]:
-    """The number of the range of ids that a row is in, for about n ranges of equal counts, and their bounds."""
-    bounds = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
+def _buckets(rows: DataFrame, n: int) -> Column:
+    """The number of the range of (doc_id, _tie) that a row is in, for about n ranges of equal counts, null ids first.
+
+    An id with several ranges' rows has several, by the tie, which is spread evenly; so have the null ids.
+    """
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("at"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    nulls = -(-n * found["nulls"] // max(1, found["n"]))
+    bounds = [(x, (j + 1) * (1 << 32) // times) for x, times in sorted(Counter(found["at"] or []).items()) for j in range(times)]
+    of_null = F.floor(F.col("_tie") * nulls / (1 << 32))
     if not bounds:
-        return F.lit(0), bounds
+        return of_null
+    ids, ties = (F.array(*[F.lit(b[k]).cast("long") for b in bounds]) for k in (0, 1))
     steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
-    held = F.array(*[F.lit(b).cast("long") for b in bounds])
-    # A binary search: how many bounds are below the id.
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < F.col(key), at + step).otherwise(at))
-    return F.coalesce(found, F.lit(0)), bounds
+
+    def below(at: Column) -> Column:
+        return (F.get(ids, at) < F.col("doc_id")) | ((F.get(ids, at) == F.col("doc_id")) & (F.get(ties, at) <= F.col("_tie")))
+
+    # A binary search: how many bounds are below the row.
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(below(at + step - 1), at + step).otherwise(at))
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(place + nulls)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -122,8 +148,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = shared.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     n = 4 * shared.parts(spark)
-    bucket, _ = _buckets(rows.select("doc_id"), "doc_id", n)
-    keyed = rows.withColumns({"_bucket": bucket, "_tie": F.crc32("text")})
+    keyed = rows.withColumn("_tie", F.crc32("text"))
+    keyed = keyed.withColumn("_bucket", _buckets(rows.select("doc_id"), n).cast("int"))
     first = "struct(doc_id is not null as known, doc_id as id, _tie as tie)"
     heads = keyed.groupBy("_bucket").agg(F.expr(f"max({first})").alias("head"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("_bucket")).collect()
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost"))
@@ -140,7 +166,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int | None = SKETCH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs; of all anchors, anchors_sha256, edited_anchors_sha256, anchors_near_edited, anchors_near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the next document's first as many.
@@ -152,13 +178,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = (
         rows.withColumn("_next", F.lead("text").over(w))
         .withColumn("_edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half)))
-        .select("_bucket", "_ghost", "doc_id", "_tie", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), of_text(F.col("text")).alias("own"), of_text(F.col("_edited")).alias("edited"))
+        .select("_bucket", "_ghost", "doc_id", "_tie", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), of_text(F.col("text"), size).alias("own"), of_text(F.col("_edited"), size).alias("edited"))
         .withColumn("next", F.lead("own").over(w))
         .filter("_ghost = 0")
     )
+    own, edited, after = (F.col(c) for c in ("own", "edited", "next"))
+    placed = {"near_edited": positional_likeness(own, edited), "near_next": positional_likeness(own, after)}
+    near = placed if size is None else {"near_edited": likeness(own["sketch"], edited["sketch"], size), "near_next": likeness(own["sketch"], after["sketch"], size)}
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own.sketch")).alias("fingerprint"), fingerprint(F.col("edited.sketch")).alias("edited_fingerprint"),
-        likeness(F.col("own.sketch"), F.col("edited.sketch")).alias("near_edited"), likeness(F.col("own.sketch"), F.col("next.sketch")).alias("near_next"),
-        F.col("own.digest").alias("anchors_sha256"), F.col("edited.digest").alias("edited_anchors_sha256"),
-        positional_likeness(F.col("own"), F.col("edited")).alias("anchors_near_edited"), positional_likeness(F.col("own"), F.col("next")).alias("anchors_near_next"),
+        "doc_id", "n_chars", "edited_sha256", own["said"].alias("fingerprint"), edited["said"].alias("edited_fingerprint"), *(c.alias(k) for k, c in near.items()),
+        own["digest"].alias("anchors_sha256"), edited["digest"].alias("edited_anchors_sha256"), *(c.alias(f"anchors_{k}") for k, c in placed.items()),
     )

@@ -154,6 +154,47 @@ def test_fingerprints_of_long_texts_have_all_anchors(spark):
     assert got[3]["anchors_sha256"] == got[0]["anchors_sha256"] != got[1]["anchors_sha256"] and got[0]["anchors_near_next"] == 1
 
 
+def plain_anchors(text, k=5, s=2):
+    """(place, hash) of the anchors in order."""
+    h = [xx(w.encode()) for w in re.split(r"[ \t-\r]+", text) if w]
+    if len(h) < k:
+        return [(0, of_longs(h))] if h else []
+    inner = [of_longs(h[i : i + s]) for i in range(len(h) - s + 1)]
+    return [(i, of_longs(h[i : i + k])) for i in range(len(h) - k + 1) if min(own := inner[i : i + k - s + 1]) in (own[0], own[-1])]
+
+
+def plain_all(text):
+    """The fingerprint, and the links."""
+    a = plain_anchors(text)
+    gaps = [y[0] - x[0] for x, y in zip(a, a[1:], strict=False)]
+    said = "".join(f"{x[1] & 0xFFFFFFFF:08x}{g}" for x, g in zip(a, [*gaps, 0], strict=False))
+    return said, {(x[1], y[1], g) for x, y, g in zip(a, a[1:], gaps, strict=False)} if len(a) > 1 else {x[1] for x in a}
+
+
+@pytest.mark.parametrize("kind", ["corpus", "hot ids"])
+def test_whole_fingerprints(spark, docs, rows, kind):
+    if kind == "hot ids":  # null and repeated ids, more than a range holds
+        rng = random.Random(5)
+        rows = [(rng.choice([None, None, 7, 7, k]), " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 30)))) for k in range(300)]
+        docs = frame(spark, rows)
+    got = defaultdict(list)
+    for r in fingerprints.fingerprints(docs, size=None).collect():
+        got[r["doc_id"], r["fingerprint"]].append(r)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())), reverse=True)
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        said, own = plain_all(t)
+        found = [r for r in got[i, said] if r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()]
+        assert found, i
+        r = found[0]
+        assert r["edited_fingerprint"] == plain_all(edited)[0]
+        for column, other in (("near_edited", edited), ("near_next", after)):
+            b = plain_all(other)
+            assert r[column] == pytest.approx(1 if b[0] == said else len(own & b[1]) / max(1, len(own | b[1]))), (i, column)
+
+
 # 3. PII
 
 
@@ -370,6 +411,51 @@ def test_licenses(spark):
     assert got[8]["labels"] == "apache-2" and got[9]["labels"] == "mit" and got[10]["labels"] == "" and got[9]["score"] > 0.8
 
 
+def plain_licenses(t):
+    """The method's labels and score: votes by diagonal, neighbours merged, distinct places of the template."""
+    words, labels, score = CODE.findall(lower(t or "")), set(), 0.0
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        if any(words[k : k + len(p)] == p for k in range(len(words) - len(p) + 1)):
+            labels, score = labels | {label}, 1.0
+    places = defaultdict(list)
+    for k in range(len(words) - 2):
+        places[tuple(words[k : k + 3])].append(k)
+    for label, text in [*licenses.TEXTS.items(), *licenses.WHOLE]:
+        own = CODE.findall(lower(text))
+        size, diagonals = len(own) - 2, defaultdict(list)
+        for j in range(size):
+            for k in places.get(tuple(own[j : j + 3]), ()):
+                diagonals[k - j].append((k, j))
+        spans = sorted((min(h)[0], max(h)[0], d, {j for _, j in h}) for d, h in diagonals.items())
+        spans = sorted((lo, d, hi, js) for lo, hi, d, js in spans)
+        held = None
+        for lo, d, hi, js in spans:
+            if held and lo <= held[1] + licenses.GAP and abs(d - held[0]) <= licenses.SLACK:
+                held = (d, hi, held[2] | js)
+            else:
+                held = (d, hi, js)
+            if len(held[2]) / size >= licenses.SHARE:
+                labels, score = labels | {label}, max(score, len(held[2]) / size)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels(spark):
+    rng = random.Random(9)
+    texts = []
+    for label, text in [*licenses.TEXTS.items(), *licenses.WHOLE]:
+        w = text.split()
+        cut = rng.randrange(len(w))
+        texts += [text, "x y " + " ".join(w[:cut]), " ".join([*w[:cut], "new", *w[cut:]]), " ".join(w[cut:] + w[:cut]), " ".join(x for x in w if rng.random() < 0.9), text + " " + text]
+        texts.append(" ".join(w[: len(w) // 2] + ["gap"] * rng.choice([3, 30]) + w[len(w) // 2 :]))
+    got = by_id(licenses.licenses(frame(spark, list(enumerate(texts)))))
+    for i, t in enumerate(texts):
+        labels, score = plain_licenses(t)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score), (i, t)
+        if i % 7 == 0:
+            assert score == 1
+
+
 # 5. BPE codec
 
 
