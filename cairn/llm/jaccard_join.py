@@ -7,7 +7,7 @@ have a shingle of its bucket, one of BUCKETS by hash, then by hash. Each task co
 the tasks' counts are summed, so the order depends on the whole table and not on how its rows are dealt; a
 bucket that a frequent shingle shares costs candidates, never a link.
 
-Candidates come from the posting lists of the prefix shingles in rounds that lose no link between
+Candidates come from the posting lists of the prefix shingles. A list of up to SHORT nodes gives all its pairs; longer ones go through rounds that lose no link between
 different components. In a round each node of a list meets one head, the node to which the list's shingle comes first: the one
 with the fewest rare shingles, which is the most like all others. After each round the links found are contracted to components;
 lists with more than one component get another head from outside the first one's component. When a round joins no more components, the pairs that
@@ -49,7 +49,7 @@ SIGNATURE = 512
 #: Sets of WIDE_FROM shingles or more have a second signature of WIDE ranges, for the pairs that the first one leaves.
 WIDE, WIDE_FROM = 4096, 512
 #: Nodes of a short posting list at most.
-SHORT = 8
+SHORT = 4
 #: The posting list of a shingle whose bucket has over LONG documents more than is usual is dealt to so many tasks.
 LONG, SALTS = 1000, 32
 NAME_BITS = 63
@@ -108,8 +108,8 @@ def prefix(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-FIRST = "doc_id bigint, text_key bigint, size bigint, node bigint, check bigint, parities array<bigint>, wide array<bigint>, block int, slots binary, counts binary"
-COUNTS = "block int, turn int, slots binary, counts binary"
+FIRST = "doc_id bigint, text_key bigint, size bigint, node bigint, check bigint, parities array<bigint>, wide array<bigint>, block int, counts binary"
+COUNTS = "block int, turn int, counts binary"
 
 
 def _nodes(n: int, bits: int):
@@ -117,7 +117,7 @@ def _nodes(n: int, bits: int):
         seen: set[int] = set()
         pending: list[np.ndarray] = []
         total = np.zeros(BUCKETS, np.uint32)
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.int32(), pa.binary()]
         names = [x.split()[0] for x in FIRST.split(", ")]
 
         def table(*columns) -> pa.RecordBatch:
@@ -149,9 +149,9 @@ def _nodes(n: int, bits: int):
                     count()
                     held = 0
             none = [None] * len(sizes)
-            yield table(ids, batch.column("text_key"), sizes, nodes, checks, signatures, wide, none, none, none)
+            yield table(ids, batch.column("text_key"), sizes, nodes, checks, signatures, wide, none, none)
         count()
-        rows = [(at // ROW, *sparse(total[at : at + ROW])) for at in range(0, BUCKETS, ROW) if total[at : at + ROW].any()]
+        rows = [(at // ROW, planes(total[at : at + ROW])) for at in range(0, BUCKETS, ROW) if total[at : at + ROW].any()]
         if rows:
             none = [None] * len(rows)
             yield table(*[none] * 7, *zip(*rows, strict=True))
@@ -159,27 +159,29 @@ def _nodes(n: int, bits: int):
     return of
 
 
-def sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """The numbers of the slots with counts, and these."""
-    at = np.flatnonzero(counts)
-    return at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()
+def planes(counts: np.ndarray) -> bytes:
+    """The counts as four planes of bytes, of which the upper ones are mostly 0 and compress to nothing."""
+    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
     total = np.zeros(ROW, np.uint64)
-    for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
-        total[np.frombuffer(slots.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), np.uint32)
-    slots, counts = sparse(np.minimum(total, 2**32 - 1))
-    return pa.table([table.column("block")[:1], table.column("turn")[:1], pa.array([slots], pa.binary()), pa.array([counts], pa.binary())], names=["block", "turn", "slots", "counts"])
+    for counts in table.column("counts"):
+        total += unplaned(counts.as_py())
+    return pa.table([table.column("block")[:1], table.column("turn")[:1], pa.array([planes(np.minimum(total, 2**32 - 1))], pa.binary())], names=["block", "turn", "counts"])
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
     """The sums of the tasks' counts: first of up to a thousandth of the tasks, then of those sums. BUCKETS / ROW rows go to the driver."""
-    rows = rows.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(1024)))
+    rows = rows.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(1024))).select("block", "turn", "counts")
     part = rows.groupBy("block", "turn").applyInArrow(_sum_counts, COUNTS)
     out = np.zeros(BUCKETS, np.uint32)
     for r in part.groupBy("block").applyInArrow(_sum_counts, COUNTS).collect():
-        out[r["block"] * ROW + np.frombuffer(r["slots"], np.uint16).astype(np.int64)] = np.frombuffer(r["counts"], np.uint32)
+        out[r["block"] * ROW : (r["block"] + 1) * ROW] = unplaned(bytes(r["counts"]))
     return out
 
 
@@ -266,7 +268,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_key"))
 
     first = shared.stored(bare.mapInArrow(_nodes(n, name_bits), FIRST), "nodes")
-    named = first.filter("node is not null").drop("block", "slots", "counts")
+    named = first.filter("node is not null").drop("block", "counts")
     # Different sets with one name: at 10^10 sets a few, and no more rows than that go to the driver.
     clashes = named.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("node")
     renamed = {(r["node"], r["check"]): new_name(r["node"], r["check"]) for r in named.join(clashes, "node", "left_semi").select("node", "check").distinct().collect()}
@@ -275,7 +277,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         named = named.join(F.broadcast(table), ["node", "check"], "left").withColumn("node", F.coalesce("new", "node")).drop("new")
     name = Namer(name_bits, renamed)
     rows = named.select("doc_id", "text_key", "size", "node")
-    counted = spark.sparkContext.broadcast(bucket_counts(first.filter("block is not null").select("block", "slots", "counts")).tobytes())
+    counted = spark.sparkContext.broadcast(bucket_counts(first.filter("block is not null").select("block", "counts")).tobytes())
 
     postings = bare.select("text").mapInArrow(_postings(n, num, den, counted, name), "shingle bigint, node bigint, at bigint, salt bigint")
     # Dealt once; a list is in one task, but for those of frequent shingles, which are far fewer rows and are put together by a join.
@@ -291,8 +293,8 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     def with_heads(df: DataFrame, keys: list[str], hint: bool) -> DataFrame:
         """The rows of lists of two nodes or more, with the list's head."""
-        heads = df.groupBy(*keys).agg(F.min_by("node", turn(1)).alias("head"), F.min_by("at", turn(1)).alias("head_at"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-        return df.join(heads.hint("rebalance") if hint else heads, keys).select("shingle", "node", "at", "head", "head_at")
+        heads = df.groupBy(*keys).agg(F.min_by("node", turn(1)).alias("head"), F.min_by("at", turn(1)).alias("head_at"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+        return df.join(heads.hint("rebalance") if hint else heads, keys).select("shingle", "node", "at", "head", "head_at", "n")
 
     listed = shared.stored(with_heads(rare, ["shingle", "salt"], False).unionByName(with_heads(hot, ["shingle"], True)), "lists")
 
@@ -380,9 +382,12 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     def pairs_with_head(rows: DataFrame) -> DataFrame:
         return rows.filter("node <> head").select(F.col("head").alias("a"), F.col("head_at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")).filter(possible("a_at", "b_at"))
 
-    links = verified(near_pairs(pairs_with_head(listed)))
+    short, long = listed.filter(F.col("n") <= SHORT), listed.filter(F.col("n") > SHORT)
+    u, v = (short.select("shingle", F.col("node").alias(c), F.col("at").alias(f"{c}_at")) for c in "ab")
+    every = u.join(v, "shingle").filter((F.col("a") < F.col("b")) & possible("a_at", "b_at")).select("a", "a_at", "b", "b_at")
+    links = verified(near_pairs(pairs_with_head(long).unionByName(every)))
     roots = components(links) if links else spark.createDataFrame([], "node bigint, root bigint")
-    still, k = open_rows(listed, roots), 1
+    still, k = open_rows(long, roots), 1
     while links and not still.isEmpty():
         k += 1
         heads = still.filter("root <> top").groupBy("shingle").agg(F.min_by("node", turn(k)).alias("head"), F.min_by("at", turn(k)).alias("head_at"), F.min_by("root", turn(k)).alias("head_root"))
@@ -393,19 +398,13 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             shared.forget(still)
             still = now
 
-    def across(df: DataFrame, more: list[str], passes) -> DataFrame:
-        """The pairs of a list's nodes in different components that pass the filters."""
-        u = df.select("shingle", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("root").alias("ra"), *[F.col(c).alias(f"x_{c}") for c in more])
-        v = df.select("shingle", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("rb"), *[F.col(c).alias(f"y_{c}") for c in more])
-        return u.join(v, (u.shingle == v.shingle) & (F.col("ra") < F.col("rb")) & passes).select("a", "b", "a_at", "b_at")
-
-    # The many short lists give few pairs each, which are filtered once they are distinct; in the long ones the rows
-    # carry the signatures, so that pairs are filtered before they are made.
-    short = near_pairs(across(still.filter(F.col("n") <= SHORT), [], possible("a_at", "b_at")))
-    long = across(signed(still.filter(F.col("n") > SHORT), "node", "parities"), ["parities"], possible("a_at", "b_at") & near("a_at", "b_at"))
-    links = None if still.isEmpty() else verified(short.select("a", "b").union(long.select("a", "b")))
-    if links:
-        roots = merged(roots, links)
+    # What is left: the pairs of a list's nodes in different components. The rows carry the signatures, so that pairs are filtered before they are made.
+    if not still.isEmpty():
+        both = signed(still, "node", "parities").select("shingle", "node", "at", "root", "parities")
+        u, v = (both.select("shingle", F.col("node").alias(c), F.col("at").alias(f"{c}_at"), F.col("root").alias(f"r{c}"), F.col("parities").alias(f"{p}_parities")) for c, p in ("ax", "by"))
+        links = verified(u.join(v, (u["shingle"] == v["shingle"]) & (F.col("ra") < F.col("rb")) & possible("a_at", "b_at") & near("a_at", "b_at")).select("a", "b"))
+        if links:
+            roots = merged(roots, links)
 
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     filled = rows.filter("node >= 0")
