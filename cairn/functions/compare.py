@@ -17,12 +17,22 @@ from .scalars import timestamp
 NUMBER = r"^[\t-\r ]*([+-]?)[\t-\r ]*([0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)((?:[eE][+-]?[0-9]+)?)[\t-\r ]*([+-]?)[\t-\r ]*$"
 
 
+#: The largest number that counts as one in a text.
+MOST = "79228162514264337593543950335"
+
+
+def number_key(x: Column) -> Column:
+    """A number (or the text of one) as a struct that sorts by value: to 9 digits after the point, then to 18 and 28 where those fit. Null if it isn't one or is beyond MOST."""
+    at = lambda digits: x.try_cast(f"decimal(38,{digits})")
+    return F.when(F.abs(at(9)) <= F.lit(MOST).cast("decimal(38,9)"), F.struct(at(9).alias("to_9"), at(18).alias("to_18"), at(28).alias("to_28")))
+
+
 def numeric_text(x: Column) -> Column:
-    """The number a text stands for as DECIMAL(38,18), null if it isn't one or is out of range."""
+    """The number a text stands for as number_key() has it, null if it isn't one or is out of range."""
     part = lambda k: F.regexp_extract(x, NUMBER, k)
     one_sign = (part(1) == "") | (part(4) == "")
     plain = F.concat(part(1), part(4), F.replace(part(2), F.lit(","), F.lit("")), part(3))
-    return F.when(x.rlike(NUMBER) & one_sign, plain.try_cast("decimal(38,18)"))
+    return F.when(x.rlike(NUMBER) & one_sign, number_key(plain))
 
 
 def order_of(a: Column, b: Column) -> Column:
@@ -45,7 +55,7 @@ def compare_text(a: Column, b: Column) -> Column:
 
 def compare_number_text(number: Column, text: Column) -> Column:
     """A number (long or decimal) with a text; null, a conversion error of the row, if the text isn't a number."""
-    return order_of(number.cast("decimal(38,18)"), numeric_text(text))
+    return order_of(number_key(number), numeric_text(text))
 
 
 def compare_long_double(a: Column, b: Column) -> Column:

@@ -53,10 +53,14 @@ def to_bool(x: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A double as its shortest text: no trailing .0, exponents as E+nn."""
+    """A double as its shortest text: plain between 1e-5 and 1e15, else with an exponent of a sign and two digits at least; no trailing zeros."""
     said = x.cast("string")
-    said = F.regexp_replace(said, r"\.0(?=$|E)", "")
-    return F.regexp_replace(said, r"E(?=[0-9])", "E+")
+    plain = F.regexp_replace(said.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
+    power = F.substring_index(said, "E", -1).try_cast("int")
+    mantissa = F.regexp_replace(F.substring_index(said, "E", 1), r"\.0$", "")
+    far = F.concat(mantissa, F.when(power < 0, "E-").otherwise("E+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    size = F.abs(x)
+    return F.when(x == 0, F.when(said.startswith("-"), "-0").otherwise("0")).when((size > 1e-5) & (size < 1e15), plain).when(power.isNotNull(), far).otherwise(said)
 
 
 def substring0(x: Column, start: int, length: int | None = None) -> Column:

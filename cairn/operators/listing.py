@@ -23,14 +23,21 @@ def rank(snapshots: bool) -> Column:
 
 def visible(snapshots: bool = False, versions: bool = False, deleted: bool = False) -> Column:
     """Which generations a listing includes, besides the current ones."""
-    p = F.col("is_current")
-    if snapshots:
-        p = p | F.col("snapshot").isNotNull()
     if versions:
-        p = p | F.col("version_id").isNotNull()
+        p = F.lit(True) if snapshots else F.col("snapshot").isNull()
+    else:
+        p = F.col("is_current") | F.col("snapshot").isNotNull() if snapshots else F.col("is_current")
     return p if deleted else p & ~F.col("is_deleted")
 
 
+def visible_in_directories(snapshots: bool = False, deleted: bool = False, show_only: str | None = None) -> Column:
+    """The same where names form directories; show_only is None, deleted, files or directories."""
+    active = (F.col("is_current") | F.col("snapshot").isNotNull() if snapshots else F.col("is_current")) & ~F.col("is_deleted")
+    gone = F.col("is_deleted") if snapshots else F.col("is_deleted") & F.col("snapshot").isNull()
+    p = gone if show_only == "deleted" else active | gone if deleted else active
+    return {"files": p & ~F.coalesce("is_directory", F.lit(False)), "directories": p & F.coalesce("is_directory", F.lit(False))}.get(show_only, p)
+
+
 def sort_name(name: Column, recursive: bool) -> Column:
     """In directory mode a slash sorts before all else."""
     return F.replace(name, F.lit("/"), F.lit("\0")) if recursive else name
@@ -81,6 +88,18 @@ def rolled_up(rows: DataFrame, prefix: str, delimiter: str, directories: bool =
     return prefixes.unionByName(entries(marked.filter(~is_prefix)))
 
 
+def directory_properties(rolled: DataFrame, blobs: DataFrame, container: str, data: Column) -> DataFrame:
+    """The common prefixes of rolled_up(), with the data of the directory each stands for, null where there is none: `data` is a column of blobs, the greatest counts."""
+    live = blobs.filter((F.col("container") == container) & F.col("is_current") & ~F.col("is_deleted") & F.coalesce("is_directory", F.lit(False)))
+    own = live.groupBy(F.concat("name", F.lit("/")).alias("entry_name")).agg(F.max(data).alias("data"))
+    return rolled.filter("entry_type = 0").join(own, "entry_name", "left")
+
+
+def stale_blocks(staged: DataFrame, cutoff: Column, most: int) -> DataFrame:
+    """The oldest staged blocks from before the cutoff, up to `most` of them in order: a bounded step of their expiry."""
+    return staged.filter(F.col("created_at") < cutoff).orderBy("created_at", "container", "blob_name", "block_id").limit(most)
+
+
 def entries(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("name").alias("entry_name"), F.lit(1).alias("entry_type"), "rank", "version_id", "snapshot", "generation_id", "is_uncommitted", "is_directory")
 

@@ -46,6 +46,15 @@ def replaced(df: DataFrame, patch: DataFrame, group: list[str]) -> DataFrame:
     return before.select(names).unionByName(after.select(names)).unionByName(patch.select(names))
 
 
+def resized(df: DataFrame, group: list[str], size: Column, zero: Column) -> DataFrame:
+    """Chunks (group, id, offset, length, skip) of [0, size): what is beyond is cut, and a zero chunk fills what lacks."""
+    names = [*group, "id", "offset", "length", "skip"]
+    kept = df.filter(F.col("offset") < size).withColumn("length", F.least("length", size - F.col("offset")))
+    ends = df.groupBy(*group).agg(F.max(F.col("offset") + F.col("length")).alias("offset"))
+    fill = ends.filter(F.col("offset") < size).select(*group, zero.alias("id"), "offset", (size - F.col("offset")).alias("length"), F.lit(0).cast("bigint").alias("skip"))
+    return kept.select(names).unionByName(fill.select(names))
+
+
 def resolved_blocks(wanted: DataFrame, staged: DataFrame, committed: DataFrame, group: list[str]) -> DataFrame:
     """The content of each wanted block (group, ordinal, block_id, source): source is Committed, Uncommitted or Latest, which takes a staged block before a committed one. Of committed blocks with one id the last counts; fault marks ids that aren't there."""
     last = committed.groupBy(*group, "block_id").agg(F.max_by("content", "ordinal").alias("_committed"))

@@ -71,15 +71,11 @@ def changed_pages(now: DataFrame, before: DataFrame, group: list[str]) -> DataFr
     return merged(pages, group)
 
 
-#: Levels of aligned blocks: ranges of up to 2**LEVELS bytes.
-LEVELS = 44
-
-
 def _at_level(x: Column, k: Column) -> Column:
     return F.call_function("shiftright", x, k)
 
 
-def _blocks() -> Column:
+def _blocks(levels: int) -> Column:
     """The aligned blocks (level, number) that a range is made of: two a level at most, so a few dozen for any range."""
 
     def of(k: Column) -> Column:
@@ -87,21 +83,23 @@ def _blocks() -> Column:
         block = lambda odd, number: F.when((left < right) & (odd % 2 == 1), F.struct(k.alias("level"), number.alias("number")))
         return F.array(block(left, left), block(right, right - 1))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), of)))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of)))
 
 
 def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
     """Ranges with seq: of overlapping writes the one with the greatest seq holds; equal neighbours are merged.
 
     Each range is cut into aligned blocks, and each cell between borders looks up the blocks it lies in, one a level: an
-    equi join whose rows grow with the ranges, not with their pairs.
+    equi join whose rows grow with the ranges, not with their pairs. The levels go up to that of the longest range, which a sum over the ranges tells.
     """
+    longest = df.agg(F.max(F.col("end") + 1 - F.col("start"))).first()[0]
+    top_level = (longest or 1).bit_length()
     borders = df.select(*group, F.explode(F.array("start", F.col("end") + 1)).alias("start")).distinct()
     w = Window.partitionBy(*group).orderBy("start")
     cells = borders.select(*group, F.col("start").alias("_s"), (F.lead("start").over(w) - 1).alias("_e")).filter("_e is not null")
-    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), _at_level(F.col("_s"), k).alias("number"))))
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(top_level)), lambda k: F.struct(k.alias("level"), _at_level(F.col("_s"), k).alias("number"))))
     asked = cells.select(*group, "_s", "_e", levels.alias("b")).select(*group, "_s", "_e", "b.level", "b.number")
-    written = df.select(*group, "seq", F.explode(_blocks()).alias("b")).groupBy(*group, "b.level", "b.number").agg(F.max("seq").alias("seq"))
+    written = df.select(*group, "seq", F.explode(_blocks(top_level)).alias("b")).groupBy(*group, "b.level", "b.number").agg(F.max("seq").alias("seq"))
     top = asked.join(written, [*group, "level", "number"]).groupBy(*group, "_s", "_e").agg(F.max("seq").alias("seq"))
     return merged(top.select(*group, F.col("_s").alias("start"), F.col("_e").alias("end"), "seq"), [*group, "seq"])
 

@@ -32,22 +32,34 @@ OPERATIONS = {
     ("blob", "POST", "query"): "QueryBlobContents", ("blob", "PUT", "immutabilitypolicies"): "SetBlobImmutabilityPolicy", ("blob", "DELETE", "immutabilitypolicies"): "DeleteBlobImmutabilityPolicy",
     ("blob", "PUT", "legalhold"): "SetBlobLegalHold", ("blob", "PUT", "copy"): "AbortCopyBlob", ("blob", "GET HEAD", "metadata"): "GetBlobMetadata",
     ("blob", "PUT", "metadata"): "SetBlobMetadata", ("blob", "GET", "tags"): "GetBlobTags", ("blob", "PUT", "tags"): "SetBlobTags",
+    ("blob", "PUT", "properties"): "SetBlobProperties", ("blob", "PUT", "snapshot"): "SnapshotBlob", ("blob", "PUT", "seal"): "SealBlob", ("blob", "PUT", "tier"): "SetBlobTier",
+    ("blob", "PUT", "expiry"): "SetBlobExpiry",
 }
 #: Operations that another name takes the place of where a source to copy is given.
 COPIES = {"PutBlob": "CopyBlob", "PutBlock": "PutBlockFromURL", "AppendBlock": "AppendBlockFromURL", "PutPage": "PutPageFromURL"}
 
 
+#: Actions on a lease; the operation is Action + resource + Lease.
+LEASE_ACTIONS = {"acquire": "Acquire", "renew": "Renew", "change": "Change", "release": "Release", "break": "Break"}
+
+
 def category(method: Column) -> Column:
     return F.when(method.isin("GET", "HEAD", "OPTIONS"), "read").when(method == "DELETE", "delete").otherwise("write")
 
 
-def operation(kind: Column, method: Column, comp: Column, copies: Column) -> Column:
-    """The operation's name, by a map that is part of the plan."""
+def operation(kind: Column, method: Column, comp: Column, copies: Column, lease_action: Column | None = None, account: Column | None = None) -> Column:
+    """The operation's name, by a map that is part of the plan. lease_action names what is done with a lease; account tells requests for the account's information."""
     names = {f"{k}/{m}/{c}": name for (k, methods, c), name in OPERATIONS.items() for m in methods.split()}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     other = F.create_map(*[F.lit(x) for pair in COPIES.items() for x in pair])
     name = F.coalesce(F.try_element_at(table, F.concat_ws("/", kind, method, F.lower(F.coalesce(comp, F.lit(""))))), F.lit("Unknown"))
-    return F.when(method == "OPTIONS", "PreflightBlobRequest").when(copies, F.coalesce(F.try_element_at(other, name), name)).otherwise(name)
+    actions = F.create_map(*[F.lit(x) for pair in LEASE_ACTIONS.items() for x in pair])
+    resource = F.initcap(kind)
+    action = F.try_element_at(actions, F.lower(F.coalesce(F.lit(None).cast("string") if lease_action is None else lease_action, F.lit(""))))
+    lease = F.when(action.isNull(), F.concat(F.lit("Lease"), resource)).otherwise(F.concat(action, resource, F.lit("Lease")))
+    leased = kind.isin("container", "blob") & (method == "PUT") & (F.lower(comp) == "lease")
+    out = F.when(method == "OPTIONS", "PreflightBlobRequest").when(F.lit(False) if account is None else F.coalesce(account, F.lit(False)), "GetAccountInformation")
+    return out.when(kind == "website", "GetBlob").when(F.coalesce(leased, F.lit(False)), lease).when((kind == "blob") & copies, F.coalesce(F.try_element_at(other, name), name)).otherwise(name)
 
 
 def logged(auth: Column, status: Column) -> Column:

@@ -55,6 +55,12 @@ def find(blobs: DataFrame, tags: list[Tag], container: str | None = None) -> Dat
     return own.select("container", "name", F.map_filter("tags", lambda k, v: k.isin(keys)).alias("tags")).orderBy("container", "name")
 
 
+def found_after(found: DataFrame, container: str, name: str, size: int) -> DataFrame:
+    """A page of find(): what comes after (container, name) in its order."""
+    later = (F.col("container") > container) | ((F.col("container") == container) & (F.col("name") > name))
+    return found.filter(later).orderBy("container", "name").limit(size)
+
+
 def find_in_index(blobs: DataFrame, index: DataFrame, tags: list[Tag]) -> DataFrame:
     """The same search by semi joins with an index table (container, name, tag_key, tag_value)."""
     own = blobs.filter("is_current and not is_deleted and snapshot is null")

@@ -85,6 +85,16 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKED = "packed AS (SELECT p_partkey AS chunk_id, p_partkey % 64 AS pack_id, (p_partkey // 64) * 65536 AS record_offset, p_size::BIGINT * 1000 AS record_length FROM part)"
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed chunks, and in the same packs the former contents of large parts, which nothing refers to any more."""
+    now = packed(spark, sf_dir)
+    old = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("chunk_id"))
+    return now.unionByName(now.join(old, "chunk_id", "left_semi").withColumn("chunk_id", -F.col("chunk_id")))
+
+
+STORED = PACKED + """, stored AS (SELECT * FROM packed UNION ALL SELECT -p_partkey, pack_id, record_offset, record_length FROM packed JOIN part ON p_partkey = chunk_id WHERE p_size > 25)"""
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: status by the value's range, latency is the value."""
     e = table(spark, sf_dir, "events")

@@ -29,6 +29,14 @@ def delimited_line(columns: list[Column], options: Options = Options()) -> Colum
     return F.concat_ws(options.column, *map(field, columns))
 
 
+def delimited_lines(df: DataFrame, options: Options = Options(), header: bool = True) -> DataFrame:
+    """place and line: the records (place 1) and, if there is a row at all, the header before them (place 0)."""
+    rows = df.select(F.lit(1).alias("place"), delimited_line([F.col(f"`{c}`") for c in df.columns], options).alias("line"))
+    if not header:
+        return rows
+    return df.limit(1).select(F.lit(0).alias("place"), delimited_line([F.lit(c) for c in df.columns], options).alias("line")).unionByName(rows)
+
+
 def json_line(df: DataFrame) -> Column:
     """One object per row; null and missing values are null."""
     return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
@@ -83,6 +91,6 @@ def next_number(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def metrics_text(df: DataFrame, name: str, value: str, labels: list[str]) -> DataFrame:
-    """Lines of the Prometheus text format: name{label="value",...} number."""
-    said = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in labels])
+    """Lines of the Prometheus text format: name{label="value",...} number; backslashes, quotes and line breaks in values are escaped."""
+    said = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"')) for c in labels])
     return df.select(F.concat(F.lit(name + "{"), said, F.lit("} "), F.col(value).cast("string")).alias("line"))

@@ -47,7 +47,7 @@ def test_offset(spark):
     assert [one(spark, scalars.offset_minutes(F.lit("2010-01-01T10:15" + o))) for o in ("", "Z", "+02:30", "-01:15")] == [0, 0, 150, -75]
 
 
-@pytest.mark.parametrize(("x", "want"), [(1.0, "1"), (1.5, "1.5"), (1e100, "1E+100"), (1.25e-7, "1.25E-7"), (-0.5, "-0.5"), (123456789.0, "1.23456789E+8")])
+@pytest.mark.parametrize(("x", "want"), [(1.0, "1"), (1.5, "1.5"), (1e100, "1E+100"), (1.25e-7, "1.25E-07"), (-0.5, "-0.5"), (123456789.0, "123456789"), (1e-4, "0.0001"), (1e-5, "1E-05"), (1.5e-5, "0.000015"), (1e15, "1E+15"), (999999999999999.9, "999999999999999.9"), (1.2345678901234567e22, "1.2345678901234568E+22"), (0.0, "0"), (-12345678.25, "-12345678.25")])
 def test_number_text(spark, x, want):
     assert one(spark, scalars.number_text(F.lit(x))) == want
 
