@@ -384,7 +384,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     short, long = listed.filter(F.col("n") <= SHORT), listed.filter(F.col("n") > SHORT)
     u, v = (short.select("shingle", F.col("node").alias(c), F.col("at").alias(f"{c}_at")) for c in "ab")
-    every = u.join(v, "shingle").filter((F.col("a") < F.col("b")) & possible("a_at", "b_at")).select("a", "a_at", "b", "b_at")
+    every = u.join(v, (u["shingle"] == v["shingle"]) & (F.col("a") < F.col("b")) & possible("a_at", "b_at")).select("a", "a_at", "b", "b_at")
     links = verified(near_pairs(pairs_with_head(long).unionByName(every)))
     roots = components(links) if links else spark.createDataFrame([], "node bigint, root bigint")
     still, k = open_rows(long, roots), 1
