@@ -382,10 +382,11 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     def pairs_with_head(rows: DataFrame) -> DataFrame:
         return rows.filter("node <> head").select(F.col("head").alias("a"), F.col("head_at").alias("a_at"), F.col("node").alias("b"), F.col("at").alias("b_at")).filter(possible("a_at", "b_at"))
 
-    short, long = listed.filter(F.col("n") <= SHORT), listed.filter(F.col("n") > SHORT)
+    # A list of two is its head's pair; a self join is for lists of three and more.
+    short, long = listed.filter(F.col("n").between(3, SHORT)), listed.filter(F.col("n") > SHORT)
     u, v = (short.select("shingle", F.col("node").alias(c), F.col("at").alias(f"{c}_at")) for c in "ab")
     every = u.join(v, (u["shingle"] == v["shingle"]) & (F.col("a") < F.col("b")) & possible("a_at", "b_at")).select("a", "a_at", "b", "b_at")
-    links = verified(near_pairs(pairs_with_head(long).unionByName(every)))
+    links = verified(near_pairs(pairs_with_head(listed.filter(~F.col("n").between(3, SHORT))).unionByName(every)))
     roots = components(links) if links else spark.createDataFrame([], "node bigint, root bigint")
     still, k = open_rows(long, roots), 1
     while links and not still.isEmpty():
