@@ -10,8 +10,8 @@ bucket that a frequent shingle shares costs candidates, never a link.
 Candidates come from the posting lists of the prefix shingles. A list of up to SHORT nodes gives all its pairs; longer ones go through rounds that lose no link between
 different components. In a round each node of a list meets one head, the node to which the list's shingle comes first: the one
 with the fewest rare shingles, which is the most like all others. After each round the links found are contracted to components;
-lists with more than one component get another head from outside the first one's component. When a round joins no more components, the pairs that
-are left in different ones are tried. So a large group of near copies costs a few candidates a node instead of all its pairs. The length and positional filters
+lists with more than one component get another head from outside the first one's component, and go on with further heads while rounds join components
+in them. At the end the pairs that are left in different components are tried, those of lists that left the rounds early as well. So a large group of near copies costs a few candidates a node instead of all its pairs. The length and positional filters
 work in the join, and so does a suffix filter on signatures: parities of the counts in 512 ranges of hashes bound how much two
 sets differ (of whole sets: what differs before the shared shingle counts as well, so it leaves out no less than one on suffixes alone). Each pair that is left is compared once, by counts in 16 ranges and then exactly;
 a pair that was compared is not tried again.
@@ -50,8 +50,8 @@ SIGNATURE = 512
 WIDE, WIDE_FROM = 4096, 512
 #: Nodes of a short posting list at most.
 SHORT = 4
-#: The posting list of a shingle whose bucket has over LONG documents more than is usual is dealt to so many tasks.
-LONG, SALTS = 1000, 32
+#: The posting list of a shingle is dealt to SALTS tasks if its bucket has more documents above what is usual than both LONG and a task's share of all postings divided by PART.
+LONG, PART, SALTS = 1000, 4, 32
 NAME_BITS = 63
 
 
@@ -192,10 +192,11 @@ def rare_first(s: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, n
     return s[order], usual[order]
 
 
-def _postings(n: int, num: int, den: int, counted, name: Namer):
+def _postings(n: int, num: int, den: int, counted, tasks: int, name: Namer):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(counted.value, np.uint32)
-        long = LONG + 2 * int(counts.sum(dtype=np.int64)) // BUCKETS
+        total = int(counts.sum(dtype=np.int64))
+        long = max(LONG, total * (den - num) // den // tasks // PART) + 2 * total // BUCKETS
         seen: set[int] = set()
         for batch in batches:
             said = batch.column("text")
@@ -279,7 +280,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = named.select("doc_id", "text_key", "size", "node")
     counted = spark.sparkContext.broadcast(bucket_counts(first.filter("block is not null").select("block", "counts")).tobytes())
 
-    postings = bare.select("text").mapInArrow(_postings(n, num, den, counted, name), "shingle bigint, node bigint, at bigint, salt bigint")
+    postings = bare.select("text").mapInArrow(_postings(n, num, den, counted, shared.parts(spark), name), "shingle bigint, node bigint, at bigint, salt bigint")
     # Dealt once; a list is in one task, but for those of frequent shingles, which are far fewer rows and are put together by a join.
     # The task's number keeps the filters above the exchange, so that both read the same one and the postings are made once.
     dealt = postings.repartition("shingle", "salt").withColumn("task", F.spark_partition_id())
@@ -388,20 +389,25 @@ def similarity_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     every = u.join(v, (u["shingle"] == v["shingle"]) & (F.col("a") < F.col("b")) & possible("a_at", "b_at")).select("a", "a_at", "b", "b_at")
     links = verified(near_pairs(pairs_with_head(listed.filter(~F.col("n").between(3, SHORT))).unionByName(every)))
     roots = components(links) if links else spark.createDataFrame([], "node bigint, root bigint")
-    still, k = open_rows(long, roots), 1
+    still, k, rest = open_rows(long, roots), 1, []
     while links and not still.isEmpty():
         k += 1
         heads = still.filter("root <> top").groupBy("shingle").agg(F.min_by("node", turn(k)).alias("head"), F.min_by("at", turn(k)).alias("head_at"), F.min_by("root", turn(k)).alias("head_root"))
         links = verified(near_pairs(pairs_with_head(still.join(heads.hint("rebalance"), "shingle").filter("root <> head_root"))))
         if links:
-            roots = merged(roots, links)
-            now = open_rows(still, roots)
+            before, roots = roots, merged(roots, links)
+            # Only the lists in which the round has joined components go on; the others wait for the end as they are.
+            moved = roots.join(before.select("node", F.col("root").alias("old")), "node", "left").filter(F.col("root") != F.coalesce("old", "node")).select("node")
+            touched = shared.stored(still.join(moved, "node", "left_semi").select("shingle").distinct(), "touched")
+            rest.append(shared.stored(still.join(touched, "shingle", "left_anti").select("shingle", "node", "at"), "rest"))
+            now = open_rows(still.join(touched, "shingle", "left_semi"), roots)
             shared.forget(still)
             still = now
 
     # What is left: the pairs of a list's nodes in different components. The rows carry the signatures, so that pairs are filtered before they are made.
-    if not still.isEmpty():
-        both = signed(still, "node", "parities").select("shingle", "node", "at", "root", "parities")
+    left = labelled(all_of([*rest, still.select("shingle", "node", "at")]), roots)
+    if not left.isEmpty():
+        both = signed(left, "node", "parities").select("shingle", "node", "at", "root", "parities")
         u, v = (both.select("shingle", F.col("node").alias(c), F.col("at").alias(f"{c}_at"), F.col("root").alias(f"r{c}"), F.col("parities").alias(f"{p}_parities")) for c, p in ("ax", "by"))
         links = verified(u.join(v, (u["shingle"] == v["shingle"]) & (F.col("ra") < F.col("rb")) & possible("a_at", "b_at") & near("a_at", "b_at")).select("a", "b"))
         if links:
