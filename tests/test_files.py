@@ -1,5 +1,7 @@
 """Readers and writers of delimited text, JSON records, Parquet and Arrow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,52 @@ def test_split_sizes(spark, tmp_path):
     assert [r["size"] for r in own.orderBy("part").collect()] == [12] * 8 + [4]
 
 
+def test_delimited_in_pieces(spark, tmp_path, monkeypatch):
+    """Splits of a few bytes and files with and without a byte-order mark and a last separator are read as the whole text is, and no task gets a file whole."""
+    rng = random.Random(2)
+    said = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for options in (Options(), Options(record="\r\n", escape='"'), Options(column=";;", record="é")):
+        text = "".join(rng.choice(["a", "é", options.column, options.record, options.quote, options.escape, options.quote + options.quote, "\r", "😀b"]) for _ in range(300)) + "x" + options.quote
+        for k, (body, mark) in enumerate((text[: rng.randrange(200, len(text))] + end, mark) for end in ("", options.record, options.quote + options.record) for mark in (b"", b"\xef\xbb\xbf")):
+            file = tmp_path / f"{ord(options.record[-1])}-{k}.csv"
+            file.write_bytes(mark + body.encode())
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(rng.choice([7, 16, 61])))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = [(r["pos"], r["size"], r["fields"], r["error"]) for r in delimited.exact(spark, str(file), options).orderBy("pos").collect()]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", said)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            whole, pos = [], 0
+            for size, fields, error in delimited.records([body], options):
+                whole.append((pos, size, fields, error))
+                pos += size
+            assert got == whole and pos == len(body.encode())
+    said = delimited.exact(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in said and "Scan text" in said
+    monkeypatch.setattr(delimited, "RECORD", 8)
+    assert list(delimited.records(['a,"bcd\n', "efgh\n", '"\n', "x\n"], Options())) == [(14, None, "RecordTooLarge")]
+    assert list(delimited.records(['a,"bcd\n', "efgh\n"], Options())) == [(12, None, "UnclosedQuote")]
+    assert list(delimited.records(["1,2\n", "123456789\n"], Options())) == [(4, ["1", "2"], None), (10, None, "RecordTooLarge")]
+
+
+def test_split_sizes_out_of_order(spark):
+    """Records in any order and of several files; batches go on over runs."""
+    rng, rows, want = random.Random(3), [], []
+    for path in "ab":
+        pos = held = 0
+        for _ in range(3000):
+            size = rng.randrange(1, 40)
+            rows.append((path, pos, size))
+            pos, held = pos + size, held + size
+            if held >= 100:
+                want.append((path, held))
+                held = 0
+        want += [(path, held)] if held else []
+    rng.shuffle(rows)
+    sizes = delimited.split_sizes(spark.createDataFrame(rows, "path string, pos bigint, size bigint"), 100)
+    assert [(r["path"], r["size"]) for r in sizes.orderBy("path", "part").collect()] == want
+    assert "FlatMapGroups" not in sizes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_json_records(spark, tmp_path):
     (tmp_path / "f.json").write_text('{"a": 1}\n\n  \n[1, 2]\n3\n{"b": null}\nnot json\n')
     got = records.json_records(spark, str(tmp_path / "f.json")).select(F.to_json("v").alias("v"), "error").collect()
