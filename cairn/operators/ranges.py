@@ -5,6 +5,11 @@ Everything is a sort within a group or a sum; no range is compared with all othe
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,37 +76,56 @@ def changed_pages(now: DataFrame, before: DataFrame, group: list[str]) -> DataFr
     return merged(pages, group)
 
 
-def _at_level(x: Column, k: Column) -> Column:
-    return F.call_function("shiftright", x, k)
-
-
-def _blocks(levels: int) -> Column:
-    """The aligned blocks (level, number) that a range is made of: two a level at most, so a few dozen for any range."""
-
-    def of(k: Column) -> Column:
-        left, right = _at_level(F.col("start") + _at_level(F.lit((1 << 62) - 1), 62 - k), k), _at_level(F.col("end") + 1, k)
-        block = lambda odd, number: F.when((left < right) & (odd % 2 == 1), F.struct(k.alias("level"), number.alias("number")))
-        return F.array(block(left, left), block(right, right - 1))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of)))
+def _held(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """start, end, seq of what holds, of (start, end, seq) by start. Kept are the ranges that may still hold, a stair: the greater the seq, the sooner the end."""
+    stair: list[tuple] = []
+    at, own = 0, None
+    for start, end, seq in chain(rows, [(float("inf"), None, None)]):
+        while stair and at < start:
+            (_, top), until = stair[-1]
+            stop = min(until, start - 1)
+            if own and own[2] == top and own[1] + 1 == at:
+                own = (own[0], stop, top)
+            else:
+                if own:
+                    yield own
+                own = (at, stop, top)
+            at = stop + 1
+            if stop == until:
+                stair.pop()
+        if end is None:
+            break
+        at, key = start, (seq is not None, seq)
+        k = bisect_left(stair, (key,))
+        if k < len(stair) and stair[k][1] >= end:
+            continue
+        right = k + 1 if k < len(stair) and stair[k][0] == key else k
+        while k and stair[k - 1][1] <= end:
+            k -= 1
+        stair[k:right] = [(key, end)]
+    if own:
+        yield own
+
+
+def _last_writers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, start, end, seq) by group and start."""
+    first = next(batches, None)
+    if first is None:
+        return
+    rows = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    own = ((*key, *x) for key, parts in groupby(rows, lambda row: row[:-3]) for x in _held(row[-3:] for row in parts))
+    while some := list(islice(own, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), first.schema, strict=True)], names=first.schema.names)
 
 
 def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
     """Ranges with seq: of overlapping writes the one with the greatest seq holds; equal neighbours are merged.
 
-    Each range is cut into aligned blocks, and each cell between borders looks up the blocks it lies in, one a level: an
-    equi join whose rows grow with the ranges, not with their pairs. The levels go up to that of the longest range, which a sum over the ranges tells.
+    A group's ranges go by once in order of start, as a stream. What is kept of them are those that reach on and that none with a greater seq outlasts.
     """
-    longest = df.agg(F.max(F.col("end") + 1 - F.col("start"))).first()[0]
-    top_level = (longest or 1).bit_length()
-    borders = df.select(*group, F.explode(F.array("start", F.col("end") + 1)).alias("start")).distinct()
-    w = Window.partitionBy(*group).orderBy("start")
-    cells = borders.select(*group, F.col("start").alias("_s"), (F.lead("start").over(w) - 1).alias("_e")).filter("_e is not null")
-    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(top_level)), lambda k: F.struct(k.alias("level"), _at_level(F.col("_s"), k).alias("number"))))
-    asked = cells.select(*group, "_s", "_e", levels.alias("b")).select(*group, "_s", "_e", "b.level", "b.number")
-    written = df.select(*group, "seq", F.explode(_blocks(top_level)).alias("b")).groupBy(*group, "b.level", "b.number").agg(F.max("seq").alias("seq"))
-    top = asked.join(written, [*group, "level", "number"]).groupBy(*group, "_s", "_e").agg(F.max("seq").alias("seq"))
-    return merged(top.select(*group, F.col("_s").alias("start"), F.col("_e").alias("end"), "seq"), [*group, "seq"])
+    own = df.select(*group, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "seq").filter("start <= end")
+    by_group = own.repartition(*group) if group else own.coalesce(1)
+    return by_group.sortWithinPartitions(*group, "start").mapInArrow(_last_writers, own.schema)
 
 
 def split(df: DataFrame, size: int = COPY) -> DataFrame:

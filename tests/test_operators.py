@@ -109,6 +109,27 @@ def test_range_algebra(spark, seed):
     assert {x: r["seq"] for r in top for x in range(r["start"], r["end"] + 1)} == last
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_last_writer_ties(spark, seed):
+    """Equal seqs, null ones, empty ranges and null groups; a range is moved once, whatever its length."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 2, None]), a, a + rng.randrange(-1, 30), rng.choice([None, 1, 2, 3, 4])) for a in (rng.randrange(-50, 90) for _ in range(60))]
+    best = {}
+    for g, s, e, seq in rows:
+        for x in range(s, e + 1):
+            best[g, x] = max(best.get((g, x), -1), -1 if seq is None else seq)
+    want = set()
+    for (g, x), seq in best.items():
+        if best.get((g, x - 1)) != seq:
+            end = next(y for y in range(x, 999) if best.get((g, y + 1)) != seq)
+            want.add((g, x, end, None if seq < 0 else seq))
+    own = ranges.last_writer(spark.createDataFrame(rows, "g int, start bigint, end bigint, seq bigint"), ["g"])
+    got = [(r["g"], r["start"], r["end"], r["seq"]) for r in own.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    said = own._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in said and "Generate" not in said
+
+
 def test_ranges_pages(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 3, "c")], "g int, page bigint, digest string")
     old = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (1, 2, "y")], "g int, page bigint, digest string")
