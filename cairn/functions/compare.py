@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 from fractions import Fraction
 
@@ -27,12 +27,17 @@ def number_key(x: Column) -> Column:
     return F.when(F.abs(at(9)) <= F.lit(MOST).cast("decimal(38,9)"), F.struct(at(9).alias("to_9"), at(18).alias("to_18"), at(28).alias("to_28")))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def numeric_text(x: Column) -> Column:
     """The number a text stands for as number_key() has it, null if it isn't one or is out of range."""
-    part = lambda k: F.regexp_extract(x, NUMBER, k)
-    one_sign = (part(1) == "") | (part(4) == "")
-    plain = F.concat(part(1), part(4), F.replace(part(2), F.lit(","), F.lit("")), part(3))
-    return F.when(x.rlike(NUMBER) & one_sign, number_key(plain))
+    # As sign|sign|number in one match; a character that ends a line may follow what $ matches. Of the signs, one is empty at least.
+    parts = F.when(x.rlike(NUMBER), F.regexp_replace(x, NUMBER + r"[\s\S]?", "$1|$4|$2$3"))
+    plain = once(parts, lambda p: F.when(p.rlike(r"^(\|[+-]?|[+-]\|)\|"), F.translate(p, "|,", "")))
+    return once(plain, number_key)
 
 
 def order_of(a: Column, b: Column) -> Column:
@@ -45,17 +50,19 @@ def utf16(x: Column) -> Column:
     return F.encode(x, "UTF-16BE")
 
 
+def _order_of_once(a: Column, b: Column) -> Column:
+    """order_of() for operands that are dear to compute."""
+    return once(F.struct(a.alias("a"), b.alias("b")), lambda p: order_of(p["a"], p["b"]))
+
+
 def compare_text(a: Column, b: Column) -> Column:
     """Two texts: as numbers if both are, as instants if both are timestamps, else by code unit."""
-    na, nb, ta, tb = numeric_text(a), numeric_text(b), timestamp(a), timestamp(b)
-    return (
-        F.when(na.isNotNull() & nb.isNotNull(), order_of(na, nb)).when(ta.isNotNull() & tb.isNotNull(), order_of(ta, tb)).otherwise(order_of(utf16(a), utf16(b)))
-    )
+    return F.coalesce(*[_order_of_once(key(a), key(b)) for key in (numeric_text, timestamp, utf16)])
 
 
 def compare_number_text(number: Column, text: Column) -> Column:
     """A number (long or decimal) with a text; null, a conversion error of the row, if the text isn't a number."""
-    return order_of(number_key(number), numeric_text(text))
+    return _order_of_once(number_key(number), numeric_text(text))
 
 
 def compare_long_double(a: Column, b: Column) -> Column:

@@ -84,6 +84,15 @@ def test_compare_text(spark, a, b, want):
     assert one(spark, compare.compare_text(F.lit(a), F.lit(b))) == want
 
 
+def test_compare_text_computes_its_operands_once(spark):
+    """The plan names each text's patterns a few times, and odd texts are numbers as before."""
+    df = spark.createDataFrame([("+5-", "5"), ("-1,0.5e1", "-105"), ("5\u2028", "5"), ("|5", "5"), (None, "5"), ("79228162514264337593543950336", "9")], "a string, b string")
+    own = df.select(compare.compare_text(F.col("a"), F.col("b")).alias("x"))
+    assert [r["x"] for r in own.collect()] == [-1, 0, 0, 1, None, -1]
+    said = own._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("regexp_extract") + said.count("regexp_replace") + said.count("RLIKE") < 60
+
+
 @pytest.mark.parametrize(
     ("a", "b"),
     [(2**53 + 1, 2.0**53), (2**53, 2.0**53), (2**63 - 1, 2.0**63), (-(2**63), -(2.0**63)), (0, 5e-324), (0, -5e-324), (0, -0.0), (3, 2.5), (-3, -2.5), (7, 1e100), (7, -1e100), (2**63 - 1, 9223372036854774784.0)],
