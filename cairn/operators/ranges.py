@@ -19,8 +19,18 @@ COPY = 4 * 1024 * 1024
 MOST = 10_000
 
 
+def _by_group(df: DataFrame, group: list[str]) -> DataFrame:
+    """Groups dealt to all shuffle partitions. Left alone, small rows that compress well are put together to tasks of 64 MB, which are many times that once they are sorted."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group) if group else df
+
+
 def merged(df: DataFrame, group: list[str], adjacent: bool = True) -> DataFrame:
     """The union: overlapping ranges become one, and touching ones too if adjacent."""
+    return _merged(_by_group(df.select(*group, "start", "end"), group), group, adjacent)
+
+
+def _merged(df: DataFrame, group: list[str], adjacent: bool = True) -> DataFrame:
+    """merged() of ranges that are already dealt by group."""
     w = Window.partitionBy(*group).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.col("start") > reach + (1 if adjacent else 0)
@@ -30,28 +40,30 @@ def merged(df: DataFrame, group: list[str], adjacent: bool = True) -> DataFrame:
 
 
 def _pieces(sides: dict[str, DataFrame], group: list[str]) -> DataFrame:
-    """Elementary ranges between all borders, with how many ranges of each side cover them (columns named as the sides)."""
+    """Elementary ranges between all borders, with how many ranges of each side cover them (columns named as the sides).
+
+    Borders are summed in their sort, equal ones together, without a table of all places in memory.
+    """
     steps = None
-    for name, df in sides.items():
-        for at, step in ((F.col("start"), 1), (F.col("end") + 1, -1)):
-            own = df.select(*group, at.alias("start"), *[F.lit(step if n == name else 0).alias(n) for n in sides])
-            steps = own if steps is None else steps.unionByName(own)
-    steps = steps.groupBy(*group, "start").agg(*[F.sum(n).alias(n) for n in sides])
-    w = Window.partitionBy(*group).orderBy("start")
-    return steps.select(
-        *group, "start", (F.lead("start").over(w) - 1).alias("end"), *[F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in sides]
-    ).filter("end is not null")
+    for k, df in enumerate(sides.values(), 1):
+        borders = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(k).alias("side")), F.struct((F.col("end") + 1).alias("at"), F.lit(-k).alias("side"))))
+        own = df.filter("start <= end").select(*group, borders.alias("_b")).select(*group, F.col("_b.at").alias("start"), F.col("_b.side").alias("_side"))
+        steps = own if steps is None else steps.unionByName(own)
+    steps, w = _by_group(steps, group), Window.partitionBy(*group).orderBy("start")
+    step = lambda k: F.when(F.col("_side") == k, 1).when(F.col("_side") == -k, -1).otherwise(0)
+    covers = [F.sum(step(k)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias(n) for k, n in enumerate(sides, 1)]
+    return steps.select(*group, "start", (F.lead("start").over(w) - 1).alias("end"), *covers).filter("start <= end")
 
 
 def subtracted(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     """What a covers and b doesn't, merged."""
     rest = _pieces({"_a": a, "_b": b}, group).filter("_a > 0 and _b = 0")
-    return merged(rest.select(*group, "start", "end"), group)
+    return _merged(rest.select(*group, "start", "end"), group)
 
 
 def intersected(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     both = _pieces({"_a": a, "_b": b}, group).filter("_a > 0 and _b > 0")
-    return merged(both.select(*group, "start", "end"), group)
+    return _merged(both.select(*group, "start", "end"), group)
 
 
 def clipped(df: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -65,7 +77,7 @@ def diff(now: DataFrame, before: DataFrame, rewritten: DataFrame, group: list[st
     own = _pieces({"_now": now, "_before": before, "_new": rewritten}, group)
     kind = F.when((F.col("_now") > 0) & ((F.col("_before") == 0) | (F.col("_new") > 0)), "changed").when((F.col("_now") == 0) & (F.col("_before") > 0), "cleared")
     own = own.withColumn("kind", kind).filter("kind is not null")
-    return merged(own.select(*group, "kind", "start", "end"), [*group, "kind"])
+    return _merged(own.select(*group, "kind", "start", "end"), [*group, "kind"])
 
 
 def changed_pages(now: DataFrame, before: DataFrame, group: list[str]) -> DataFrame:
@@ -124,7 +136,7 @@ def last_writer(df: DataFrame, group: list[str]) -> DataFrame:
     A group's ranges go by once in order of start, as a stream. What is kept of them are those that reach on and that none with a greater seq outlasts.
     """
     own = df.select(*group, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "seq").filter("start <= end")
-    by_group = own.repartition(*group) if group else own.coalesce(1)
+    by_group = _by_group(own, group) if group else own.coalesce(1)
     return by_group.sortWithinPartitions(*group, "start").mapInArrow(_last_writers, own.schema)
 
 

@@ -109,6 +109,20 @@ def test_range_algebra(spark, seed):
     assert {x: r["seq"] for r in top for x in range(r["start"], r["end"] + 1)} == last
 
 
+def test_range_pieces(spark):
+    """Empty ranges cover nothing, equal borders make one piece, and no table of all places is held: the sum is in the sort."""
+    df = lambda rows: spark.createDataFrame([(1, *x) for x in rows], "g int, start bigint, end bigint")
+    a, b = df([(0, 20), (10, 5), (0, 20), (21, 30)]), df([(4, 20), (4, 3), (21, 21)])
+    got = lambda d: sorted((r["start"], r["end"]) for r in d.collect())
+    assert got(ranges.intersected(a, b, ["g"])) == [(4, 21)]
+    assert got(ranges.subtracted(a, b, ["g"])) == [(0, 3), (22, 30)]
+    own = ranges._pieces({"x": a, "y": b}, ["g"])
+    assert got(own) == [(0, 3), (4, 20), (21, 21), (22, 30)]
+    assert "Aggregate" not in own._jdf.queryExecution().executedPlan().toString()
+    said = ranges.diff(a, b, a, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_last_writer_ties(spark, seed):
     """Equal seqs, null ones, empty ranges and null groups; a range is moved once, whatever its length."""
